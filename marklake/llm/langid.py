@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from marklake.llm.common import small_batches
 
@@ -232,3 +233,21 @@ def identify(docs: DataFrame, learn_from: DataFrame | None = None) -> DataFrame:
     model = train(sample(docs if learn_from is None else learn_from))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("bigint").cast("string")) % 4 == 2, F.lit(False))
     return docs.select(F.col("doc_id").cast("bigint"), held.alias("held_out"), F.col("text").cast("string")).mapInArrow(_predictor(model), SCHEMA)
+
+
+def _annotator(model: dict | None, text: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = predict(model, b.column(text).to_pylist())
+            columns = [*b.columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*b.schema.names, "_lang_pred", "_score"])
+
+    return run
+
+
+def annotate(docs: DataFrame, learn_from: DataFrame | None = None) -> DataFrame:
+    """All columns of the documents, with _lang_pred and _score."""
+    small_batches(docs.sparkSession)
+    model = train(sample(docs if learn_from is None else learn_from))
+    schema = StructType([*docs.schema.fields, StructField("_lang_pred", StringType()), StructField("_score", DoubleType())])
+    return docs.mapInArrow(_annotator(model, docs.columns.index("text")), schema)
