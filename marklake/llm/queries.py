@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marklake.llm import html, langid, lines, mixing, ngram_join, packing, pii, quality, secrets
+from marklake.llm import html, langid, lines, mixing, ngram_join, packing, pii, quality, search, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op7_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -50,7 +54,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_source_mixing, op3_pii, op4_line_dedup, op5_packing, op6_language_id, op8_quality_rules, op9_html_extraction, op10_ngram_join)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_source_mixing, op3_pii, op4_line_dedup, op5_packing, op6_language_id, op7_exact_search, op8_quality_rules, op9_html_extraction, op10_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
