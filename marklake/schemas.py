@@ -6,7 +6,7 @@ from __future__ import annotations
 ENTRY = "struct<pos:int,key:string,kind:string,json:string,text:string,items:array<string>>"
 ENTRIES = f"array<{ENTRY}>"
 FRONTMATTER = f"struct<json:string,entries:{ENTRIES},error:string>"
-HEADING = "struct<idx:int,level:int,text:string,line:int,parent_idx:int,end_line:int,direct_empty:boolean,setext:boolean>"
+HEADING = "struct<idx:int,level:int,text:string,line:int,parent_idx:int,end_line:int,direct_empty:boolean,setext:boolean,path:array<string>>"
 HEADINGS = f"array<{HEADING}>"
 WIKILINK = "struct<pos:int,raw:string,target:string,display:string,anchor_kind:string,anchor:string,embed:boolean>"
 WIKILINKS = f"array<{WIKILINK}>"
