@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -45,6 +46,12 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs now: it does so when the driver's JVM collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Remove every intermediate table of this application; call it once the results are written."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
@@ -58,7 +65,8 @@ def let(value: Column, body) -> Column:
 
 def words(text: Column) -> Column:
     """Words of a text: maximal runs of anything but SPACE. Null and empty texts have none."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE, -1), lambda w: w != "")
+    inner = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\f\r"))
+    return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, SPACE, -1))
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marklake.llm.common import discard, materialize
+from marklake.llm.common import discard, materialize, release
 
 #: Far more rounds than the logarithm of any graph's size needs.
 MOST_ROUNDS = 60
@@ -54,13 +54,17 @@ def link_buckets(members: DataFrame, near: Callable[[Callable[[str], Column], Ca
     every member outside the bucket's largest component with all members of other components, so no link between
     components is missed. Pivots and component sizes are aggregates; the joins on buckets can be split.
     """
-    pivots = members.groupBy("bucket").agg(F.min(F.struct("rank", "node")).alias("p"), F.count("*").alias("n")).filter("n > 1").select("bucket", F.col("p.node").alias("pivot"))
-    shared = materialize(members.join(pivots, "bucket"), f"{name}-buckets")
+    keys = members.groupBy("bucket").agg(F.count("*").alias("n_members"), F.min("rank").alias("least")).filter("n_members > 1").select("bucket", "least")
+    shared = materialize(members.join(keys, "bucket"), f"{name}-shared")
+    pivots = shared.filter("rank = least").groupBy("bucket").agg(F.min("node").alias("pivot"))
+    shared = materialize(shared.join(pivots, "bucket").drop("least"), f"{name}-buckets")
+    release(members.sparkSession)
     a, b = shared.filter("node = pivot").alias("a"), shared.filter("node <> pivot").alias("b")
     at = lambda side: lambda c: F.col(f"{side}.{c}")
     first = a.join(b, (at("a")("bucket") == at("b")("bucket")) & near(at("a"), at("b"))).select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
     first = materialize(first, f"{name}-pairs")
     links = materialize(verify(first), f"{name}-links")
+    release(members.sparkSession)
     comps = materialize(components(links), f"{name}-comps")
     m = shared.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     sizes = m.groupBy("bucket", "comp").agg(F.count("*").alias("n"))

@@ -20,27 +20,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marklake.llm.common import SPACE, let, materialize, maybe_broadcast
+from marklake.llm.common import discard, let, materialize, maybe_broadcast, release, words
 from marklake.llm.graph import link_buckets
 
 #: Words of a shingle, similarity in hundredths, orders, and hash buckets in which shingles are counted.
 WORDS, PERCENT, ORDERS, BUCKETS = 3, 90, 3, 1 << 18
+#: The bits of a key that come from the hash.
+MASK = (1 << 52) - 1
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shingles(text: Column, n: int = WORDS) -> Column:
-    """Distinct hashed shingles of a text; the whole sequence as one if it has fewer words."""
+    """Hashed shingles of a text, each as often as it occurs; the whole sequence as one if it has fewer words."""
     text = F.coalesce(text, F.lit(""))
     # A text of as many bytes as characters is ASCII, where lower() changes A to Z only.
     low = F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
-    w = F.filter(F.split(low, SPACE, -1), lambda x: x != "")
 
-    def over(v: Column) -> Column:
-        many = F.transform(F.slice(v, n, F.greatest(F.size(v) - n + 1, F.lit(0))), lambda x, i: F.xxhash64(*(F.get(v, i + k) for k in range(n - 1)), x))
-        few = F.array(F.xxhash64(F.array_join(v, " ")))
-        return F.when(F.size(v) >= n, many).when(F.size(v) > 0, few).otherwise(F.array().cast("array<bigint>"))
+    def over(h: Column) -> Column:
+        many = F.transform(F.slice(h, n, F.greatest(F.size(h) - n + 1, F.lit(0))), lambda x, i: F.xxhash64(*(F.get(h, i + k) for k in range(n - 1)), x))
+        return F.when(F.size(h) >= n, many).when(F.size(h) > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<bigint>"))
 
-    return F.array_distinct(let(w, over))
+    return let(F.transform(words(low), lambda w: F.xxhash64(w)), over)
 
 
 def levels(sets: DataFrame) -> bytes:
@@ -62,36 +62,63 @@ def prefix_size(n: Column, percent: int = PERCENT) -> Column:
     return (n - F.ceil(n * percent / 100) + 1).cast("int")
 
 
-def prefixes(s: Column, level: bytes, percent: int = PERCENT, orders: int = ORDERS) -> Column:
-    """The first tokens of a set under each order, in order, as numbers: the level, then bits of the order's own hash."""
+def keys(s: Column, level: bytes) -> Column:
+    """Tokens of a set as numbers, in the first order: the level of their bucket, then 52 bits of their hash."""
 
-    def key(table: Column, h: Column, k: int) -> Column:
+    def key(table: Column, h: Column) -> Column:
         at = F.substring(table, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1, F.lit(1))
-        mixed = F.xxhash64(F.lit(k), h) if k else h
-        return F.coalesce(F.shiftleft(F.ascii(at.cast("string")).cast("bigint"), 52).bitwiseOR(F.shiftrightunsigned(mixed, 12)), F.lit(0).cast("bigint"))
+        return F.coalesce(F.shiftleft(F.ascii(at.cast("string")).cast("bigint"), 52).bitwiseOR(F.shiftrightunsigned(h, 12)), F.lit(0).cast("bigint"))
 
-    def first(v: Column, table: Column, k: int) -> Column:
-        return F.slice(F.sort_array(F.transform(v, lambda h: key(table, h, k))), F.lit(1), prefix_size(F.size(v), percent))
+    return F.sort_array(let(F.lit(level), lambda table: F.transform(s, lambda h: key(table, h))))
 
-    return let(s, lambda v: let(F.lit(level), lambda table: F.struct(*(first(v, table, k).alias(f"p{k}") for k in range(orders)))))
+
+def prefixes(ordered: Column, percent: int = PERCENT, orders: int = ORDERS) -> Column:
+    """The first tokens of a set under each order: rare ones first; by hash; by the hash's complement; by its rotations.
+
+    ordered: the set's keys in the first order. All other orders follow from the hash that the keys carry.
+    """
+
+    def other(v: Column, k: int) -> Column:
+        low = F.lit(MASK)
+        if k == 1:
+            moved = F.transform(v, lambda x: x.bitwiseAND(low))
+        elif k == 2:
+            moved = F.transform(v, lambda x: F.bitwise_not(x).bitwiseAND(low))
+        else:
+            moved = F.transform(v, lambda x: F.shiftleft(x.bitwiseAND(low), 11 * (k - 2)).bitwiseAND(low).bitwiseOR(F.shiftrightunsigned(x.bitwiseAND(low), 52 - 11 * (k - 2))))
+        return F.slice(F.sort_array(moved), F.lit(1), prefix_size(F.size(v), percent))
+
+    first = lambda v: F.slice(v, F.lit(1), prefix_size(F.size(v), percent))
+    return let(ordered, lambda v: F.struct(first(v).alias("p0"), *(other(v, k).alias(f"p{k}") for k in range(1, orders))))
 
 
 def jaccard_at_least(a: Column, b: Column, percent: int = PERCENT) -> Column:
     return let(F.size(F.array_intersect(a, b)), lambda both: 100 * both >= percent * (F.size(a) + F.size(b) - both))
 
 
+def _repeats(rows: DataFrame) -> bool:
+    """Whether any row stands there twice."""
+    return not rows.groupBy("doc_id", "h").count().filter("count > 1").isEmpty()
+
+
 def link(docs: DataFrame, percent: int = PERCENT, orders: int = ORDERS, n: int = WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows (doc_id, h, n, h1, h2: the text's hash, the set's size and name), classes (node, doc_id, h, n, ...) and (node, comp)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"))
-    sets = d.select("doc_id", F.xxhash64("text").alias("h"), shingles(F.col("text"), n).alias("s"))
-    level = levels(sets.filter(F.col("doc_id").isNotNull()))
-    named = sets.select("doc_id", "h", "s", F.sort_array("s").alias("sorted"))
-    rows = named.select("doc_id", "h", F.size("s").alias("n"), F.xxhash64("sorted").alias("h1"), F.xxhash64(F.lit(7), "sorted").alias("h2"), prefixes(F.col("s"), level, percent, orders).alias("p"))
-    rows = materialize(rows.select("doc_id", "h", "n", "h1", "h2", "p.*"), "join-rows")
+    found = d.select("doc_id", F.xxhash64("text").alias("h"), shingles(F.col("text"), n).alias("s"))
+    level = levels(found.filter(F.col("doc_id").isNotNull()))
+    named = found.select("doc_id", "h", keys(F.array_distinct("s"), level).alias("s"))
     order = [f"p{k}" for k in range(orders)]
-    group = rows.filter("n > 0 and doc_id is not null").groupBy("h1", "h2", "n").agg(F.min(F.struct("doc_id", "h")).alias("head"), *(F.first(c).alias(c) for c in order))
-    group = materialize(group.select("h1", "h2", "n", F.col("head.doc_id").alias("doc_id"), F.col("head.h").alias("h"), F.monotonically_increasing_id().alias("node"), *order), "join-classes")
+    whole = named.select("doc_id", "h", F.size("s").alias("n"), F.xxhash64("s").alias("h1"), F.xxhash64(F.lit(7), "s").alias("h2"), prefixes(F.col("s"), percent, orders).alias("p"))
+    whole = materialize(whole.select("doc_id", "h", "n", "h1", "h2", "p.*"), "join-whole")
+    rows = materialize(whole.select("doc_id", "h", "n", "h1", "h2"), "join-rows")
+    heads = rows.filter("n > 0 and doc_id is not null").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("doc_id"))
+    # Equal doc_ids with equal sets but other texts: the lowest text hash stands for the class.
+    heads = rows.join(heads, ["h1", "h2", "n", "doc_id"]).groupBy("h1", "h2", "n", "doc_id").agg(F.min("h").alias("h"))
+    group = whole.join(heads, ["h1", "h2", "n", "doc_id", "h"]).dropDuplicates(["h1", "h2", "n"]) if _repeats(rows) else whole.join(heads, ["h1", "h2", "n", "doc_id", "h"])
+    group = materialize(group.select("h1", "h2", "n", "doc_id", "h", F.monotonically_increasing_id().alias("node"), *order), "join-classes")
+    discard(whole)
+    release(docs.sparkSession)
 
     def sides(pairs: DataFrame, of: DataFrame, columns: list[str]) -> DataFrame:
         for side in ("a", "b"):
@@ -103,14 +130,21 @@ def link(docs: DataFrame, percent: int = PERCENT, orders: int = ORDERS, n: int =
         meet = F.lit(True)
         for c in order[1:]:
             meet = meet & F.arrays_overlap(f"a_{c}", f"b_{c}")
-        left = materialize(sides(pairs, group, order[1:]).filter(meet).select("a", "b"), "join-candidates")
+        pairs = materialize(pairs, "join-pairs")
+        if pairs.isEmpty():
+            return pairs
+        nodes = lambda x: maybe_broadcast(x.select(F.col("a").alias("node")).unionAll(x.select(F.col("b").alias("node"))).distinct())
+        some = materialize(group.join(nodes(pairs), "node").select("node", *order[1:]), "join-prefixes")
+        left = materialize(sides(pairs, some, order[1:]).filter(meet).select("a", "b"), "join-candidates")
+        discard(some)
+        release(docs.sparkSession)
         if left.isEmpty():
             return left
-        wanted = left.select(F.col("a").alias("node")).unionAll(left.select(F.col("b").alias("node"))).distinct()
-        heads = materialize(group.join(wanted, "node").select("doc_id", "h", "node"), "join-heads")
-        whole = d.withColumn("h", F.xxhash64("text")).join(maybe_broadcast(heads), ["doc_id", "h"])
-        whole = materialize(whole.select("node", shingles(F.col("text"), n).alias("s")).dropDuplicates(["node"]), "join-sets")
-        return sides(left, whole, ["s"]).filter(jaccard_at_least(F.col("a_s"), F.col("b_s"), percent)).select("a", "b")
+        wanted = maybe_broadcast(group.join(nodes(left), "node").select("doc_id", "h", "node"))
+        sets = d.withColumn("h", F.xxhash64("text")).join(wanted, ["doc_id", "h"]).select("node", F.array_distinct(shingles(F.col("text"), n)).alias("s"))
+        sets = materialize(sets, "join-sets")
+        sets = sets.dropDuplicates(["node"]) if _repeats(rows) else sets
+        return sides(left, sets, ["s"]).filter(jaccard_at_least(F.col("a_s"), F.col("b_s"), percent)).select("a", "b")
 
     members = group.select("node", "n", F.posexplode("p0").alias("rank", "bucket"))
 
