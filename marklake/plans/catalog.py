@@ -1,15 +1,14 @@
-"""Registry of the engine's queries and their SQL."""
+"""All queries of the engine and their SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from marklake.plans import frontmatter_queries  # noqa: F401
+from marklake.plans.registry import QUERIES, SQL, Query
 
-from pyspark.sql import DataFrame, SparkSession
 
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
