@@ -282,7 +282,7 @@ def bullets(body: str, mark: str = "-") -> str:
     return "\n".join(out)
 
 
-ITALIC = re.compile(r"(?<![*\\\w])\*(?![\s*])([^*\n]+?)(?<![\s*\\])\*(?![*\w])|(?<![_\\\w])_(?![\s_])([^_\n]+?)(?<![\s_\\])_(?![_\w])")
+ITALIC = re.compile(r"(?<![*\\\w])\*(?![\s*])([^*\n]+?)(?<![\s*\\])\*(?![*\w])|(?<![_\\\w])_(?![\s_])((?:[^_\n]|(?<=\w)_+(?=\w))+?)(?<![\s_\\])_(?![_\w])")
 
 
 def italics(body: str, mark: str = "*") -> str:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marklake.plans import frontmatter_queries  # noqa: F401
+from marklake.plans import frontmatter_queries, model_queries, structure_queries  # noqa: F401
 from marklake.plans.registry import QUERIES, SQL, Query
 
 
