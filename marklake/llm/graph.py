@@ -7,10 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marklake.llm.common import discard, materialize, release
+from marklake.llm.common import BROADCAST_ROWS, discard, materialize, release
 
-#: Far more rounds than the logarithm of any graph's size needs.
-MOST_ROUNDS = 60
+#: Far more rounds than the logarithm of any graph's size needs, and rounds that small graphs make in one job.
+MOST_ROUNDS, SMALL_ROUNDS = 60, 3
+
+
+def _round(edges: DataFrame) -> DataFrame:
+    """A large-star and a small-star step over edges (u, v), u > v."""
+    both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+    low = large.groupBy("u").agg(F.min("v").alias("m"))
+    return large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -18,24 +27,23 @@ def components(links: DataFrame) -> DataFrame:
 
     Alternates the large-star and small-star steps: every node passes its larger (smaller) neighbours to the smallest
     node it knows, until nothing changes. Each step is a min with map-side combining and a join that Spark can split,
-    so hubs are no bottleneck. Only counters reach the driver.
+    so hubs are no bottleneck. Only counters reach the driver. A graph of at most BROADCAST_ROWS links is counted first
+    and then solved in one partition, where no step shuffles.
     """
     edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "cc")
+    small = edges.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     before = None
     for _ in range(MOST_ROUNDS):
-        both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        after = materialize(small, "cc")
-        # Stars only: no node is both an end and a centre, and no end has two centres.
-        now = after.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        if now == before or not now.n:
+            break
+        before, after = now, edges.coalesce(1) if small else edges
+        for _ in range(SMALL_ROUNDS if small else 1):
+            after = _round(after)
+            after = after.coalesce(1) if small else after
+        after = materialize(after, "cc")
         discard(edges)
         edges = after
-        if now == before:
-            break
-        before = now
     else:
         raise RuntimeError("components did not settle")
     ends = edges.select(F.col("u").alias("node"), F.col("v").alias("comp"))
