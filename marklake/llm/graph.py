@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from marklake.llm.common import BROADCAST_ROWS, discard, materialize, release
 
-#: Far more rounds than the logarithm of any graph's size needs, and rounds that small graphs make in one job.
-MOST_ROUNDS, SMALL_ROUNDS = 60, 3
+#: Far more rounds than the logarithm of any graph's size needs.
+MOST_ROUNDS = 60
 
 
 def _round(edges: DataFrame) -> DataFrame:
@@ -37,11 +37,8 @@ def components(links: DataFrame) -> DataFrame:
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if now == before or not now.n:
             break
-        before, after = now, edges.coalesce(1) if small else edges
-        for _ in range(SMALL_ROUNDS if small else 1):
-            after = _round(after)
-            after = after.coalesce(1) if small else after
-        after = materialize(after, "cc")
+        before = now
+        after = materialize(_round(edges.coalesce(1)).coalesce(1) if small else _round(edges), "cc")
         discard(edges)
         edges = after
     else:
