@@ -84,7 +84,7 @@ def read_listed(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
             for p in f["file"]:
                 with open(p, "rb") as h:
                     raw = h.read()
-                rows.append((p.removeprefix(base), raw.decode("utf-8", "replace"), pd.Timestamp(os.path.getmtime(p), unit="s"), len(raw), hashlib.sha256(raw).hexdigest()))
+                rows.append((p.removeprefix(base), raw.decode("utf-8", "replace"), pd.Timestamp(int(os.path.getmtime(p) * 1e6), unit="us"), len(raw), hashlib.sha256(raw).hexdigest()))
             yield pd.DataFrame(rows, columns=["path", "content", "modification_ts", "length", "revision"])
 
     listed = spark.createDataFrame([(p,) for p in paths], "file string")
@@ -206,7 +206,7 @@ def metadata(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
             rows = []
             for p in f["file"]:
                 s = os.lstat(p)
-                at = lambda x: pd.Timestamp(x, unit="s")
+                at = lambda x: pd.Timestamp(int(x * 1e6), unit="us")
                 rows.append((p.removeprefix(base), s.st_size, at(s.st_ctime), at(s.st_mtime), at(s.st_atime), st.S_IMODE(s.st_mode), name(pwd.getpwuid, s.st_uid), name(grp.getgrgid, s.st_gid), st.S_ISLNK(s.st_mode), st.S_ISDIR(s.st_mode)))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in METADATA.split(", ")])
 
