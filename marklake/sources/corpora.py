@@ -8,8 +8,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Size of a source from which it is worth dealing out to all cores.
+SPREAD_BYTES = 1 << 20
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """The table as it is, or dealt out if its files have fewer splits than there are cores: texts are parsed in the tasks
+    that read them, and a file of one row group is one task. Tables of many files are never shuffled."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    big = int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) > SPREAD_BYTES
+    return table.repartition(cores) if big and table.rdd.getNumPartitions() < cores else table
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> str:
-    spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(f"_src_{name}")
+    spread(spark.read.parquet(f"{sf_dir}/{name}.parquet")).createOrReplaceTempView(f"_src_{name}")
     return f"_src_{name}"
 
 
