@@ -33,10 +33,59 @@ class FrontmatterError(ValueError):
         self.code = code
 
 
+#: Lines of the simple form: a key with a scalar that needs no quotes, and items of a list of such scalars.
+_KEY = re.compile(r"([A-Za-z][A-Za-z0-9_-]*):(?: ([A-Za-z0-9](?:[A-Za-z0-9 _./-]*[A-Za-z0-9_./-])?))?")
+_ITEM = re.compile(r"(?:  )?- ([A-Za-z0-9](?:[A-Za-z0-9 _./-]*[A-Za-z0-9_./-])?)")
+_INT, _DAY = re.compile(r"0|[1-9][0-9]*"), re.compile(r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]+-[A-Za-z][A-Za-z-]*")
+_NAMED = {w: v for v, ws in ((None, "null Null NULL"), (True, "true True TRUE"), (False, "false False FALSE")) for w in ws.split()}
+
+
+def _simple_yaml(text: str) -> dict[str, Any] | None:
+    """Mapping of a block of simple lines, as the loader would read it; None for anything else."""
+    out: dict[str, Any] = {}
+    items: list | None = None
+    key = ""
+    for line in text.split("\n"):
+        m = _ITEM.fullmatch(line) if items is not None else None
+        if m is None:
+            m = _KEY.fullmatch(line)
+            if m is None or m[1] in _NAMED:
+                return None
+            key, word = m[1], m[2]
+            if word is None:
+                if key in out:
+                    return None
+                items = []
+                out[key] = None
+                continue
+            items = None
+        else:
+            word = m[1]
+        if word in _NAMED:
+            value = _NAMED[word]
+        elif word[0].isdigit():
+            if _INT.fullmatch(word):
+                value = int(word)
+            elif _DAY.fullmatch(word):
+                value = word
+            else:
+                return None
+        else:
+            value = word
+        if items is None:
+            out[key] = value
+        else:
+            items.append(value)
+            out[key] = items
+    return out
+
+
 def read_yaml(text: str) -> dict[str, Any]:
-    """Mapping of a YAML block; a blank one is empty."""
+    """Mapping of a YAML block; a blank one is empty. Blocks of simple lines don't need the full loader."""
     if not text.strip():
         return {}
+    if (simple := _simple_yaml(text)) is not None:
+        return simple
     try:
         value = yaml.load(text, Loader)  # noqa: S506
     except (yaml.YAMLError, ValueError) as e:

@@ -47,6 +47,21 @@ def test_yaml_round_trip(mapping):
     assert values.read_yaml(values.write_yaml(mapping)) == mapping
 
 
+line = st.from_regex(r"\A(?:[a-c]{1,2}:(?: [a-cn0-9:# ./_-]{0,6})?|(?:  )?- [a-cn0-9:# ./_-]{0,6}|k: (?:true|null|Null|0x1|007|12|2020-01-02|1.5|1e3|no|\\~))\Z")
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.lists(line, min_size=1, max_size=5))
+def test_simple_yaml_is_yaml(lines):
+    import yaml
+
+    text = "\n".join(lines)
+    simple = values._simple_yaml(text)
+    if simple is not None:
+        assert values.plain(yaml.load(text, values.Loader)) == simple
+    assert values._simple_yaml("id: 7\nstatus: F\ndate: 2020-01-02\ntags:\n  - f\n  - 3-medium") is not None
+
+
 def test_wrapped_blocks():
     text = "import a\n/*\n---\ntitle: x\n---\n*/\ncode\n/*\n+++\nb = 1\n+++\n*/"
     found = fm.wrapped_blocks(text, "/*", "*/")
