@@ -35,7 +35,7 @@ class FrontmatterError(ValueError):
 
 #: Lines of the simple form: a key with a scalar that needs no quotes, and items of a list of such scalars.
 _KEY = re.compile(r"([A-Za-z][A-Za-z0-9_-]*):(?: ([A-Za-z0-9](?:[A-Za-z0-9 _./-]*[A-Za-z0-9_./-])?))?")
-_ITEM = re.compile(r"(?:  )?- ([A-Za-z0-9](?:[A-Za-z0-9 _./-]*[A-Za-z0-9_./-])?)")
+_ITEM = re.compile(r"((?:  )?)- ([A-Za-z0-9](?:[A-Za-z0-9 _./-]*[A-Za-z0-9_./-])?)")
 _INT, _DAY = re.compile(r"0|[1-9][0-9]*"), re.compile(r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]+-[A-Za-z][A-Za-z-]*")
 _NAMED = {w: v for v, ws in ((None, "null Null NULL"), (True, "true True TRUE"), (False, "false False FALSE")) for w in ws.split()}
 
@@ -44,9 +44,13 @@ def _simple_yaml(text: str) -> dict[str, Any] | None:
     """Mapping of a block of simple lines, as the loader would read it; None for anything else."""
     out: dict[str, Any] = {}
     items: list | None = None
-    key = ""
+    key = indent = ""
     for line in text.split("\n"):
         m = _ITEM.fullmatch(line) if items is not None else None
+        if m is not None:
+            indent = m[1] if not items else indent
+            if m[1] != indent:
+                return None
         if m is None:
             m = _KEY.fullmatch(line)
             if m is None or m[1] in _NAMED:
@@ -60,7 +64,7 @@ def _simple_yaml(text: str) -> dict[str, Any] | None:
                 continue
             items = None
         else:
-            word = m[1]
+            word = m[2]
         if word in _NAMED:
             value = _NAMED[word]
         elif word[0].isdigit():
