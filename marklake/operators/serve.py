@@ -101,11 +101,11 @@ def operation_id(r: Resource, what: str) -> str:
 def memberships(records: DataFrame, plan: Plan) -> DataFrame:
     """resource, path, valid, identity, identity_status and diagnostics of every selected record.
 
-    Records are analyzed and assessed once; every resource is a filter on that.
+    Every resource is a filter on one assessment of the records; give materialized records to keep their reading cheap.
     """
     needs = plan.registry.needs_structure() or plan.rules.structure
     d = types.assess_all(analysis.analyze(records, structure=needs, wikilinks=plan.rules.wikilinks), plan.registry)
-    d = d.withColumn("rule_results", F.array(*(rules.assess(r, d.columns) for r in plan.rules.rules)) if plan.rules.rules else F.array().cast(f"array<struct<rule:string,status:string,evidence:array<{rules.EVIDENCE}>,diagnostics:{schemas.DIAGNOSTICS}>>")).persist()
+    d = d.withColumn("rule_results", F.array(*(rules.assess(r, d.columns) for r in plan.rules.rules)) if plan.rules.rules else F.array().cast(f"array<struct<rule:string,status:string,evidence:array<{rules.EVIDENCE}>,diagnostics:{schemas.DIAGNOSTICS}>>"))
     out = None
     none = F.array().cast(schemas.DIAGNOSTICS)
     for r in plan.resources:
