@@ -289,6 +289,28 @@ def test_search(docs, odd, empty, corpus):
     assert search.search(empty).count() == 0 and search.search(odd).count() > 0
 
 
+def test_search_asks_with_all_terms(spark):
+    import random
+
+    rng = random.Random(8)
+    texts = [" ".join(f"w{min(rng.randrange(400), rng.randrange(400))}" for _ in range(rng.choice([3, 40, 90]))) for _ in range(90)]
+    texts += [texts[1], texts[1], " ".join(sorted(texts[2].split()))]
+    bags = [Counter(search.terms(t)) for t in texts]
+    n, mean = len(bags), sum(sum(c.values()) for c in bags) / len(bags)
+    df = Counter(t for c in bags for t in c)
+    idf = {t: math.log(1 + (n - f + 0.5) / (f + 0.5)) for t, f in df.items()}
+    search.BLOCK, search.SHARD_DOCS, search.QUERY_BLOCK_TERMS = 4, 20, 300
+    try:
+        got = search.search(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(2), F.col("doc_id") % 3 == 1, k=5).collect()
+    finally:
+        search.BLOCK, search.SHARD_DOCS, search.QUERY_BLOCK_TERMS = 64, 16_384, 1_000_000
+    assert max(len(bags[q]) for q in range(1, n, 3)) > 50
+    for q in range(1, n, 3):
+        score = {d: sum(idf[t] * c[t] * 2.2 / (c[t] + 1.2 * (0.25 + 0.75 * sum(c.values()) / mean)) for t in sorted(bags[q]) if t in c) for d, c in enumerate(bags)}
+        best = sorted(((d, s) for d, s in score.items() if s > 0), key=lambda x: (-round(x[1], 9), x[0]))[:5]
+        assert [(r.doc_id, round(r.score, 6)) for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] == [(d, round(s, 6)) for d, s in best], q
+
+
 # 8, quality
 
 
