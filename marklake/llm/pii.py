@@ -28,7 +28,11 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 PATTERNS = dict(zip(KINDS, (EMAIL, IP, CARD, PHONE), strict=True))
 #: Tokens of six and more characters with a digit.
 TOKEN = r"(?<![A-Za-z0-9_.@+/-])(?=[A-Za-z_.@+/-]*+[0-9])[A-Za-z0-9_.@+/-]{5,}+[A-Za-z0-9]?"
-MENTION = f"{EMAIL}|{PHONE}|{CARD}|{IP}|{TOKEN}"
+#: Groups of digits, of which none goes on as a token; only tried from the start of a run.
+GROUP = r"[0-9]++(?:-[0-9]++)*+(?![.-]*+[A-Za-z0-9_@+/])"
+DIGITS = rf"(?<![0-9])(?<![0-9]-){GROUP}(?:\x20{GROUP})*+"
+#: An IP before the digits in it, and digits with letters behind them as one token.
+MENTION = f"{EMAIL}|{PHONE}|{IP}(?![A-Za-z_])|{DIGITS}|{TOKEN}"
 OCTET = r"^0*(?:[0-9]{1,2}|1[0-9][0-9]|2[0-4][0-9]|25[0-5])$"
 #: Rounds of scoring; what an accepted pattern must have: confidence, and distinct instances and seeds among them.
 ROUNDS, LEAST_CONFIDENCE, LEAST_INSTANCES, LEAST_SEEDS = 3, 0.6, 5, 3

@@ -120,6 +120,19 @@ def test_pii_context(spark):
     assert got[200].n_context == 0 and got[0].spans.startswith("email:24:")
 
 
+def test_pii_context_of_ips_and_digits_first(spark):
+    rows = [(i, f"we saw login from 192.168.10.{i} and left") for i in range(12)]
+    rows += [(50 + i, f"mail help desk at user{i}@mail.org please") for i in range(12)] + [(80 + i, f"paid with card 4539 1488 0343 6467 and 55{i} 123 4567 here") for i in range(2)]
+    rows += [(100, "a login from 9F-AB12-XYZ77 came"), (101, "a login from 1234567A-XY came"), (102, "the desk at 9F-AB12-XYZ77 is new"), (103, "a login from 555 123 4567 came"), (104, "a login from 2001.5.17X came")]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = by_id(pii.find_pii(d).collect())
+    want = {100: "context:13:26", 101: "context:13:24", 102: "context:12:25", 103: "context:13:25", 104: "context:13:23"}
+    assert {i: got[i].spans for i in want} == want
+    found = {(r.doc_id, r.instance): r.seed for r in pii.mentions(d).collect()}
+    assert found[3, "192.168.10.3"] and found[80, "4539 1488 0343 6467"] and not found[80, "550 123 4567"]
+    assert not any(i < 12 and "." not in x for i, x in found)
+
+
 # 4, line dedup
 
 
