@@ -1,7 +1,8 @@
 """Operator 1, secret scans: fixed patterns, and a token-efficiency test that exposes random strings.
 
 A random string takes many tokens under a vocabulary that was learned from prose. Runs of key characters whose
-characters per token fall below a bound are reported, after known digests and identifiers are excluded.
+characters per token fall below a bound are reported, and so are the parts of a run between separators, after known
+digests and identifiers of fixed form are excluded.
 
 Defined results: a null or empty text has no spans, and its digest is that of the empty string. Repeated rows are
 scanned one by one, a null doc_id is kept, an empty table gives no rows, and other columns are not looked at. Spans
@@ -28,13 +29,14 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 #: Runs that may be keys.
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-#: What is known not to be a secret: UUIDs, digests of the usual lengths, names made of words, and numbers.
+LEAST_RUN = 20
+#: What separates the parts of a run.
+PARTS = re.compile(r"[+/=_-]+")
+#: What is known by its form not to be a secret: UUIDs, digests of the usual lengths, and numbers.
 KNOWN = re.compile(
     r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"
     r"|(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})"
     r"|(?:[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{56}|[0-9A-F]{64}|[0-9A-F]{96}|[0-9A-F]{128})"
-    r"|[A-Za-z]?[a-z]+(?:[A-Z][a-z]+)*(?:[_/=+-]+[A-Za-z]?[a-z]*(?:[A-Z][a-z]+)*)*[0-9]{0,4}"
-    r"|[A-Z]+(?:[_/=+-]+[A-Z]*)*[0-9]{0,4}"
     r"|[0-9+/_=-]+"
 )
 SCHEMA = "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_random bigint"
@@ -53,14 +55,21 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def random_spans(text: str, taken: list[tuple[int, int, int]], n_tokens, most_chars_per_token: float) -> list[tuple[int, int]]:
-    """Runs that take more tokens than prose would and that no fixed pattern has already reported."""
+    """Runs that take more tokens than prose would, or else their parts that do, where no fixed pattern has reported."""
     out = []
+    random = lambda s, e: e - s < most_chars_per_token * n_tokens(text[s:e])
     for m in RUN.finditer(text):
         s, e = m.span()
         if any(a < e and s < b for a, _, b in taken) or KNOWN.fullmatch(m[0]):
             continue
-        if e - s < most_chars_per_token * n_tokens(m[0]):
+        if random(s, e):
             out.append((s, e))
+            continue
+        start = s
+        for x in [*(x.span() for x in PARTS.finditer(text, s, e)), (e, e)]:
+            if (start, x[0]) != (s, e) and x[0] - start >= LEAST_RUN and not KNOWN.fullmatch(text, start, x[0]) and random(start, x[0]):
+                out.append((start, x[0]))
+            start = x[1]
     return out
 
 

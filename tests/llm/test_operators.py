@@ -51,6 +51,27 @@ def test_secrets(spark, docs, odd, empty):
     assert clean.text == "é #'"
 
 
+def test_secrets_letters_and_paths():
+    import base64
+    import random
+    import string
+
+    import public_tokenizers
+    import tiktoken
+
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    encode = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    spans = lambda t: secrets.random_spans(t, secrets.base_spans(t), lambda s: len(encode(s)), 1.9)
+    rng = random.Random(3)
+    for letters, n in ((string.ascii_lowercase, 32), (string.ascii_uppercase, 32), (string.ascii_letters + string.digits, 24)):
+        for before in ("", "download/reports/customer/", "storage/account/container/documents/"):
+            keys = ["".join(rng.choice(letters) for _ in range(n)) for _ in range(100)]
+            assert sum(bool(spans(f"see {before}{k} here")) for k in keys) >= 90
+    for known in ("internationalization_of_documents", "MAXIMUM_CONNECTION_TIMEOUT", "path/to/documents/123e4567-e89b-12d3-a456-426614174000", "-" * 40):
+        assert spans(known) == [], known
+
+
 # 2, mixing
 
 
