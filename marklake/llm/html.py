@@ -16,7 +16,7 @@ import html as references
 import re
 import zlib
 from collections.abc import Iterator
-from math import log1p
+from math import log1p, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -141,9 +141,9 @@ def vectors(found: list[Block], known: dict) -> np.ndarray:
             spots = known[b.path] = sorted({_bucket(f, PATH) for f in features})
         row[spots] = 1
         n, n_words = len(b.text), b.text.count(" ") + 1
-        near = b.text.lower().split() if n < 240 else b.text[:160].lower().split()[:-1] + b.text[-80:].lower().split()[1:]
-        for w in near[:10] + near[-4:]:
-            row[PATH + _bucket(w, TEXT)] += 0.25
+        own = b.text.lower().split()
+        for w in own:
+            row[PATH + _bucket(w, TEXT)] += 1 / sqrt(len(own))
         row[PATH + TEXT :] = log1p(n) / 6, log1p(n_words) / 4, min(1.0, b.links / n), b.text[-1] in ".!?\"”»", sum(map(b.text.count, ".,;:!?")) / (n_words + 1), b.text[0].isupper()
     return out
 

@@ -416,6 +416,14 @@ def test_html_layouts():
     assert html.blocks("<p>" * 3000 + "x" + "<div" * 50)[0].text == "x"
 
 
+def test_html_vectors_read_all_words():
+    for n in (16, 60, 400):
+        plain, telling = ["word"] * n, ["word"] * n
+        telling[n // 2] = "subscribe"
+        a, b = (html.vectors([html.Block(" ".join(w), (("p", ()),), 0)], {})[0, html.PATH : html.PATH + html.TEXT] for w in (plain, telling))
+        assert (a != b).any(), n
+
+
 # 10, n-gram join
 
 
