@@ -6,7 +6,7 @@ both directions, so each label uses the whole page. It is trained in numpy on a
 markup tells the main text (an article or main element) and on pages composed here in other layouts.
 
 Defined results: null or empty html gives an empty text. Scripts, styles, comments, the head, form controls and hidden
-parts never become blocks. Repeated rows and null ids are kept, an empty table gives no rows, other columns are not
+parts never become blocks; math is read as text of its block, without its annotations. Repeated rows and null ids are kept, an empty table gives no rows, other columns are not
 looked at, and blocks are never dropped for their number or length.
 """
 
@@ -33,9 +33,11 @@ SCHEMA = "page_id bigint, url string, text string, n_chars bigint"
 
 # Element names as HTML defines them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
-SILENT = frozenset("head title button select option datalist svg math iframe object canvas audio video map noframes".split())
-RAW = "script|style|noscript|template|textarea|xmp"
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split()) | frozenset(
+    "math semantics maction menclose merror mfenced mfrac mi mlabeledtr mmultiscripts mn mo mover mpadded mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none".split()
+)
+SILENT = frozenset("head title button select option datalist svg iframe object canvas audio video map noframes".split())
+RAW = "script|style|noscript|template|textarea|xmp|annotation-xml|annotation"
 #: Elements whose start or end closes an open p.
 NOT_IN_P = frozenset("address article aside blockquote body details dialog div dl dd dt fieldset figure figcaption footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section table tbody td tfoot th thead tr ul".split())
 
@@ -45,7 +47,9 @@ MARKUP = re.compile(
     re.S | re.I,
 )
 NAMED = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-HIDDEN_TAG = re.compile(r"""(?:\A|\s)hidden(?:[\s=/]|\Z)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+MAY_HIDE = re.compile(r"hidden|none", re.I)
+NOT_SHOWN = re.compile(r"display\s*:\s*none", re.I)
 PART = re.compile(r"[A-Za-z]+")
 
 
@@ -53,6 +57,17 @@ def _bucket(word: str, size: int) -> int:
     return zlib.crc32(word.encode("utf-8", "replace")) % size
 
 
+def hides(attributes: str) -> bool:
+    """Whether the attributes of a tag hide its element: hidden by its name, style and aria-hidden by their values."""
+    if not MAY_HIDE.search(attributes):
+        return False
+    for name, *values in ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), "".join(values)
+        if name == "hidden" or (name == "style" and NOT_SHOWN.search(value)) or (name == "aria-hidden" and value.strip().lower() == "true"):
+            return True
+    return False
+
+
 class Block:
     """Text of a leaf, its path of (tag, names) and the characters that are inside links."""
 
@@ -119,7 +134,7 @@ def blocks(page: str) -> list[Block]:
         if tag in VOID:
             continue
         attributes = m[4] or ""
-        names = None if attributes and HIDDEN_TAG.search(attributes) else tuple(w.lower() for n in NAMED.findall(attributes) for w in PART.findall("".join(n))) if attributes else ()
+        names = None if attributes and hides(attributes) else tuple(w.lower() for n in NAMED.findall(attributes) for w in PART.findall("".join(n))) if attributes else ()
         stack.append((tag, names))
         quiet += names is None or tag in SILENT
     if at < len(page) and not quiet:

@@ -424,6 +424,15 @@ def test_html_vectors_read_all_words():
         assert (a != b).any(), n
 
 
+def test_html_hidden_and_math():
+    texts = lambda page: [b.text for b in html.blocks(page)]
+    for shown in ('data-title="The hidden cost of rent"', 'class="lead hidden sm:block"', "title='display:none'", 'data-x="aria-hidden=true"', 'aria-hidden="false"', "data-hidden", 'style="display:block"'):
+        assert texts(f"<article {shown}><p>a</p></article>") == ["a"], shown
+    for hidden in ("hidden", "HIDDEN=''", "id=x hidden", 'style="color:red; display : none"', "aria-hidden=true", "aria-hidden='true'"):
+        assert texts(f"<article {hidden}><p>a</p></article><p>b</p>") == ["b"], hidden
+    assert texts("<p>If <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation encoding='tex'>x=2</annotation></semantics></math> holds, go.</p>") == ["If x=2 holds, go."]
+
+
 # 10, n-gram join
 
 
