@@ -2,7 +2,8 @@
 
 Tokens are counted by cell of source, language and topic. Raking scales the cells' weights to the target of each
 marginal in turn, ROUNDS times. A document is kept with the probability keep * raked / counted of its cell, at most 1,
-by a hash of its doc_id; its weight is what the probability could not express. DataFrame functions only.
+by a hash of its doc_id; its weight is what the probability could not express, and `sample` makes up for it with
+copies. DataFrame functions only.
 
 Targets are shares by value of a dimension. Where none are given they are the observed ones to the power POWER: large
 sources, languages and topics are damped, small ones raised.
@@ -86,14 +87,14 @@ def rake(cells: DataFrame, targets: dict[str, dict] | None = None, rounds: int =
 
 
 def assign(docs: DataFrame, targets: dict[str, dict] | None = None, keep: float = KEEP) -> DataFrame:
-    """The documents with _source, _lang, _topic, _tokens, _p (probability), _weight and _kept."""
+    """The documents with _source, _lang, _topic, _tokens, _wanted (copies), _u (hash), _p (probability), _weight and _kept."""
     d = strata(docs)
     cells = materialize(d.groupBy(F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic")).agg(F.sum("_tokens").alias("tokens")), "mixing-counts")
-    ratio = rake(cells, targets).select(F.col("source").alias("_source"), F.col("lang").alias("_lang"), F.col("topic").alias("_topic"), (F.lit(keep) * F.col("ratio")).alias("_ratio"))
+    ratio = rake(cells, targets).select(F.col("source").alias("_source"), F.col("lang").alias("_lang"), F.col("topic").alias("_topic"), (F.lit(keep) * F.col("ratio")).alias("_wanted"))
     d = d.join(maybe_broadcast(ratio), ["_source", "_lang", "_topic"])
     u = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("bigint").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("double") / 2**32
-    p = F.least(F.lit(1.0), F.col("_ratio"))
-    return d.withColumns({"_p": p, "_weight": F.when(F.col("_ratio") > 0, F.col("_ratio") / p).otherwise(0.0), "_kept": u < p}).drop("_ratio")
+    p = F.least(F.lit(1.0), F.col("_wanted"))
+    return d.withColumns({"_u": u, "_p": p, "_weight": F.when(F.col("_wanted") > 0, F.col("_wanted") / p).otherwise(0.0), "_kept": u < p})
 
 
 def mix(docs: DataFrame, targets: dict[str, dict] | None = None, keep: float = KEEP) -> DataFrame:
@@ -104,8 +105,13 @@ def mix(docs: DataFrame, targets: dict[str, dict] | None = None, keep: float = K
 
 
 def sample(docs: DataFrame, targets: dict[str, dict] | None = None, keep: float = KEEP) -> DataFrame:
-    """The kept documents, with the columns of the input."""
-    return assign(docs, targets, keep).filter("_kept").select(*docs.columns)
+    """The kept documents, with the columns of the input, each as often as its cell asks for.
+
+    A cell that has to give more tokens than it holds (keep * ratio above 1) emits every document floor(keep * ratio)
+    times, and once more by the hash with the probability that is left, so the expected tokens are those of the targets.
+    """
+    times = (F.floor("_wanted") + (F.col("_u") < F.col("_wanted") - F.floor("_wanted")).cast("bigint")).cast("int")
+    return assign(docs, targets, keep).withColumn("_copy", F.explode(F.array_repeat(F.lit(1), times))).select(*docs.columns)
 
 
 def oracle_sql(table: str = "documents", rounds: int = ROUNDS, keep: float = KEEP) -> str:

@@ -97,6 +97,16 @@ def test_mixing(spark, docs, odd, empty):
     mixing.BROADCAST_ROWS = common.BROADCAST_ROWS
 
 
+def test_sample_reaches_targets(spark):
+    rows = [(i, "word " * 10, "en", "big" if i % 20 else "small", 0) for i in range(8000)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    for share in (0.25, 0.1):
+        got = {r.source: r.n for r in mixing.sample(d, {"source": {"big": 1 - share, "small": share}}).groupBy("source").agg(F.sum(F.size(F.split(F.trim("text"), " "))).alias("n")).collect()}
+        assert abs(got["small"] / 40_000 - share) < 0.02 and abs(got["big"] / 40_000 - 1 + share) < 0.02
+    fate = {r.doc_id for r in mixing.mix(d).filter("kept").collect()}
+    assert {r.doc_id for r in mixing.sample(d).collect()} == fate
+
+
 # 3, PII
 
 
