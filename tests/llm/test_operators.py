@@ -232,6 +232,12 @@ def test_lines(spark, odd, empty):
     assert lines.dedupe(empty).count() == 0 and lines.dedupe(odd).columns == odd.columns
 
 
+def test_lines_short_and_without_spaces(spark):
+    rows = [(1, "Accept all cookies\nOK\n\n所有饼干都接受请点击这里"), (2, "accept ALL cookies!\nok\n\nown"), (3, "所有饼干都接受请点击这里\n...\nOK"), (4, "...\nno")]
+    got = {r.doc_id: (r.text, r.gone) for r in lines.dedupe(spark.createDataFrame(rows, "doc_id bigint, text string"), count="gone").collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("\nown", 2), 3: ("...", 2), 4: ("...\nno", 0)}
+
+
 def test_simhash_forms_agree(spark):
     hs = [[xxhash.xxh64_intdigest(f"{i}-{k}".encode()) - (1 << 63) for k in range(n)] for i, n in enumerate((1, 2, 5, 17, 255, 511))]
     d = spark.createDataFrame([(i, h) for i, h in enumerate(hs)], "i int, h array<bigint>")
