@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,12 +47,6 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished jobs now: it does so when the driver's JVM collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def drop_scratch(spark: SparkSession) -> None:
     """Remove every intermediate table of this application; call it once the results are written."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
@@ -69,13 +64,25 @@ def words(text: Column) -> Column:
     return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, SPACE, -1))
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Keep Arrow batches small enough for rows with very long texts."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
-        spark.conf.set(key, str(rows))
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most so many rows. Spark bounds a batch by bytes; this bounds what is made of it."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
+def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: Column | None = None) -> DataFrame:
+    """df with a broadcast hint if it is small, else df itself, for a shuffled join.
+
+    Small: at most so many rows, and as many values of the column `size` (elements of an array, say) ten times over.
+    """
+    some = df.limit(rows + 1).agg(F.count("*").alias("n"), F.sum(size if size is not None else F.lit(1)).alias("size")).first()
+    return F.broadcast(df) if some.n <= rows and (some["size"] or 0) <= 10 * rows else df
 
 
-def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most so many rows, else df itself, for a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def own_name(df: DataFrame, name: str) -> str:
+    """A column name that df does not have in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"{name}_"
+    return name

@@ -7,10 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marklake.llm.common import BROADCAST_ROWS, discard, materialize, release
-
-#: Far more rounds than the logarithm of any graph's size needs.
-MOST_ROUNDS = 60
+from marklake.llm.common import BROADCAST_ROWS, discard, materialize
 
 
 def _round(edges: DataFrame) -> DataFrame:
@@ -33,7 +30,7 @@ def components(links: DataFrame) -> DataFrame:
     edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "cc")
     small = edges.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     before = None
-    for _ in range(MOST_ROUNDS):
+    while True:  # every round brings nodes nearer to their smallest, so it ends
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if now == before or not now.n:
             break
@@ -41,12 +38,33 @@ def components(links: DataFrame) -> DataFrame:
         after = materialize(_round(edges.coalesce(1)).coalesce(1) if small else _round(edges), "cc")
         discard(edges)
         edges = after
-    else:
-        raise RuntimeError("components did not settle")
     ends = edges.select(F.col("u").alias("node"), F.col("v").alias("comp"))
     return ends.unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
+#: The table of shared buckets' bits has 2^SHARED_BITS of them in rows of 2^ROW_BITS: 8 MB, whatever the corpus.
+SHARED_BITS, ROW_BITS = 26, 15
+
+
+def shared_members(rows: DataFrame, name: str) -> DataFrame:
+    """(bucket, node, ...) of the buckets that different nodes share, each node once in a bucket.
+
+    rows: (bucket, node, ...), bucket a hash; rows of one bucket and node may repeat and are alike. Most buckets have a
+    single node: what is shared is found by an aggregate with map-side combining, and a broadcast table of bits, of
+    fixed size, lets nearly all other rows go before they are shuffled for the join that decides.
+    """
+    shared = rows.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least <> most").select("bucket")
+    shared = materialize(shared, f"{name}-shared")
+    place = F.col("bucket").bitwiseAND(F.lit((1 << SHARED_BITS) - 1))
+    at, bit = F.shiftright(place, ROW_BITS).cast("int"), place.bitwiseAND(F.lit((1 << ROW_BITS) - 1))
+    bits = shared.groupBy(at.alias("at")).agg(F.bitmap_construct_agg(bit).alias("bits"))
+    byte = F.ascii(F.decode(F.substring(F.col("bits"), F.shiftright(bit, 3).cast("int") + 1, F.lit(1)), "ISO-8859-1"))
+    likely = rows.withColumn("at", at).join(F.broadcast(bits), "at").filter(F.getbit(byte, bit.bitwiseAND(F.lit(7)).cast("int")) == 1)
+    rest = [c for c in rows.columns if c not in ("bucket", "node")]
+    found = likely.groupBy("bucket", "node").agg(*(F.first(c).alias(c) for c in rest)).join(shared, "bucket")
+    return materialize(found.select(*rows.columns), f"{name}-members")
+
+
 def link_buckets(members: DataFrame, near: Callable[[Callable[[str], Column], Callable[[str], Column]], Column], verify: Callable[[DataFrame], DataFrame], name: str) -> tuple[DataFrame, DataFrame]:
     """All components of the graph whose links are the verified pairs that share a bucket.
 
@@ -63,13 +81,11 @@ def link_buckets(members: DataFrame, near: Callable[[Callable[[str], Column], Ca
     shared = materialize(members.join(keys, "bucket"), f"{name}-shared")
     pivots = shared.filter("rank = least").groupBy("bucket").agg(F.min("node").alias("pivot"))
     shared = materialize(shared.join(pivots, "bucket").drop("least"), f"{name}-buckets")
-    release(members.sparkSession)
     a, b = shared.filter("node = pivot").alias("a"), shared.filter("node <> pivot").alias("b")
     at = lambda side: lambda c: F.col(f"{side}.{c}")
     first = a.join(b, (at("a")("bucket") == at("b")("bucket")) & near(at("a"), at("b"))).select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
     first = materialize(first, f"{name}-pairs")
     links = materialize(verify(first), f"{name}-links")
-    release(members.sparkSession)
     comps = materialize(components(links), f"{name}-comps")
     m = shared.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     sizes = m.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
