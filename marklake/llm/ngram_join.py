@@ -6,8 +6,9 @@ shingles of rare hash buckets first, counted over all documents, and break ties
 share a prefix token of the first order, at places and with sizes that still allow the similarity, are candidates only
 if their prefixes under the other orders meet, too. What is left is verified on the whole sets.
 
-Shingles are known by 64-bit hashes. Large groups are linked through pivots (see graph.link_buckets), never by all
-their pairs.
+Shingles are known by 64-bit hashes, and a class by two of them. Large groups are linked through pivots (see
+graph.link_buckets), never by all their pairs. Only the first order's prefix is kept of every document; the prefixes
+under the other orders and the whole sets are made of the texts again, for documents that are still candidates.
 
 Defined results: a null text or one without words has an empty set and is its own component, as has a text with fewer
 than three words only equals. Rows with a null doc_id have a null component and link nothing. Repeated rows and
@@ -20,8 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marklake.llm.common import discard, let, materialize, maybe_broadcast, release, words
-from marklake.llm.graph import link_buckets
+from marklake.llm.common import discard, let, materialize, maybe_broadcast, own_name, words
+from marklake.llm.graph import link_buckets, shared_members
 
 #: Words of a shingle, similarity in hundredths, orders, and hash buckets in which shingles are counted.
 WORDS, PERCENT, ORDERS, BUCKETS = 3, 90, 3, 1 << 18
@@ -96,57 +97,50 @@ def jaccard_at_least(a: Column, b: Column, percent: int = PERCENT) -> Column:
     return let(F.size(F.array_intersect(a, b)), lambda both: 100 * both >= percent * (F.size(a) + F.size(b) - both))
 
 
-def _repeats(rows: DataFrame) -> bool:
-    """Whether any row stands there twice."""
-    return not rows.groupBy("doc_id", "h").count().filter("count > 1").isEmpty()
-
-
-def link(docs: DataFrame, percent: int = PERCENT, orders: int = ORDERS, n: int = WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows (doc_id, h, n, h1, h2: the text's hash, the set's size and name), classes (node, doc_id, h, n, ...) and (node, comp)."""
+def link(docs: DataFrame, percent: int = PERCENT, orders: int = ORDERS, n: int = WORDS) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, h, n, h1, h2: the text's hash, the set's size and name) and (node, comp) of the linked classes. node: the class's h1."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"))
     found = d.select("doc_id", F.xxhash64("text").alias("h"), shingles(F.col("text"), n).alias("s"))
     level = levels(found.filter(F.col("doc_id").isNotNull()))
     named = found.select("doc_id", "h", keys(F.array_distinct("s"), level).alias("s"))
-    order = [f"p{k}" for k in range(orders)]
-    whole = named.select("doc_id", "h", F.size("s").alias("n"), F.xxhash64("s").alias("h1"), F.xxhash64(F.lit(7), "s").alias("h2"), prefixes(F.col("s"), percent, orders).alias("p"))
-    whole = materialize(whole.select("doc_id", "h", "n", "h1", "h2", "p.*"), "join-whole")
-    rows = materialize(whole.select("doc_id", "h", "n", "h1", "h2"), "join-rows")
-    heads = rows.filter("n > 0 and doc_id is not null").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("doc_id"))
-    # Equal doc_ids with equal sets but other texts: the lowest text hash stands for the class.
-    heads = rows.join(heads, ["h1", "h2", "n", "doc_id"]).groupBy("h1", "h2", "n", "doc_id").agg(F.min("h").alias("h"))
-    group = whole.join(heads, ["h1", "h2", "n", "doc_id", "h"]).dropDuplicates(["h1", "h2", "n"]) if _repeats(rows) else whole.join(heads, ["h1", "h2", "n", "doc_id", "h"])
-    group = materialize(group.select("h1", "h2", "n", "doc_id", "h", F.monotonically_increasing_id().alias("node"), *order), "join-classes")
-    discard(whole)
-    release(docs.sparkSession)
+    first = F.slice("s", F.lit(1), prefix_size(F.size("s"), percent)).alias("p0")
+    whole = materialize(named.select("doc_id", "h", F.size("s").alias("n"), F.xxhash64("s").alias("h1"), F.xxhash64(F.lit(7), "s").alias("h2"), first), "join-whole")
+    rows = whole.select("doc_id", "h", "n", "h1", "h2")
+    full = whole.filter("n > 0 and doc_id is not null")
 
     def sides(pairs: DataFrame, of: DataFrame, columns: list[str]) -> DataFrame:
         for side in ("a", "b"):
             pairs = pairs.join(of.select(F.col("node").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in columns)), side)
         return pairs
 
+    def again(pairs: DataFrame, made) -> DataFrame:
+        """node and what is made of the shingles of the first document of every node of the pairs."""
+        nodes = maybe_broadcast(pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct())
+        heads = full.select("doc_id", "h", F.col("h1").alias("node")).join(nodes, "node").groupBy("node").agg(F.min(F.struct("doc_id", "h")).alias("at")).select("node", "at.*")
+        texts = d.withColumn("h", F.xxhash64("text")).join(maybe_broadcast(heads), ["doc_id", "h"])
+        return texts.select("node", *made(F.array_distinct(shingles(F.col("text"), n)))).dropDuplicates(["node"])
+
+    order = [f"p{k}" for k in range(1, orders)]
+
     def verify(pairs: DataFrame) -> DataFrame:
         """Intersects the filters of the other orders, then compares the whole sets of what is left."""
-        meet = F.lit(True)
-        for c in order[1:]:
-            meet = meet & F.arrays_overlap(f"a_{c}", f"b_{c}")
-        pairs = materialize(pairs, "join-pairs")
         if pairs.isEmpty():
             return pairs
-        nodes = lambda x: maybe_broadcast(x.select(F.col("a").alias("node")).unionAll(x.select(F.col("b").alias("node"))).distinct())
-        some = materialize(group.join(nodes(pairs), "node").select("node", *order[1:]), "join-prefixes")
-        left = materialize(sides(pairs, some, order[1:]).filter(meet).select("a", "b"), "join-candidates")
+        some = materialize(again(pairs, lambda s: [prefixes(keys(s, level), percent, orders).alias("p")]).select("node", *(F.col(f"p.{c}") for c in order)), "join-prefixes")
+        meet = F.lit(True)
+        for c in order:
+            meet = meet & F.arrays_overlap(f"a_{c}", f"b_{c}")
+        left = materialize(sides(pairs, some, order).filter(meet).select("a", "b"), "join-candidates")
         discard(some)
-        release(docs.sparkSession)
         if left.isEmpty():
             return left
-        wanted = maybe_broadcast(group.join(nodes(left), "node").select("doc_id", "h", "node"))
-        sets = d.withColumn("h", F.xxhash64("text")).join(wanted, ["doc_id", "h"]).select("node", F.array_distinct(shingles(F.col("text"), n)).alias("s"))
-        sets = materialize(sets, "join-sets")
-        sets = sets.dropDuplicates(["node"]) if _repeats(rows) else sets
-        return sides(left, sets, ["s"]).filter(jaccard_at_least(F.col("a_s"), F.col("b_s"), percent)).select("a", "b")
+        sets = materialize(again(left, lambda s: [s.alias("s")]), "join-sets")
+        linked = materialize(sides(left, sets, ["s"]).filter(jaccard_at_least(F.col("a_s"), F.col("b_s"), percent)).select("a", "b"), "join-verified")
+        discard(sets)
+        return linked
 
-    members = group.select("node", "n", F.posexplode("p0").alias("rank", "bucket"))
+    members = shared_members(full.select(F.posexplode("p0").alias("rank", "bucket"), F.col("h1").alias("node"), "n").select("bucket", "node", "rank", "n"), "join")
 
     def near(a, b) -> Column:
         need = F.ceil(percent * (a("n") + b("n")) / (100 + percent))
@@ -154,18 +148,23 @@ def link(docs: DataFrame, percent: int = PERCENT, orders: int = ORDERS, n: int =
         return sized & (F.least(a("n") - a("rank"), b("n") - b("rank")) >= need)
 
     comps, _ = link_buckets(members, near, verify, "join")
-    return rows, group, comps
+    return rows, comps
+
+
+def grouped(rows: DataFrame, comps: DataFrame) -> DataFrame:
+    """The rows with a set and a doc_id, with g1 and g2, which name their component."""
+    full = rows.filter("n > 0 and doc_id is not null").join(maybe_broadcast(comps.withColumnRenamed("node", "h1")), "h1", "left")
+    return full.select("doc_id", "h", F.coalesce("comp", "h1").alias("g1"), F.coalesce(F.when(F.col("comp").isNull(), F.col("h2")), F.lit(0).cast("bigint")).alias("g2"))
 
 
 def join(docs: DataFrame, percent: int = PERCENT, orders: int = ORDERS, n: int = WORDS) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
-    rows, group, comps = link(docs, percent, orders, n)
-    named = group.select("h1", "h2", "n", "node", "doc_id").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    smallest = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(smallest, "comp").select("h1", "h2", "n", "component_id")
-    out = rows.select("doc_id", "h1", "h2", "n").join(named, ["h1", "h2", "n"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), component.alias("component_id"))
+    rows, comps = link(docs, percent, orders, n)
+    smallest = grouped(rows, comps).groupBy("g1", "g2").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")).filter("n > 1")
+    r = rows.join(maybe_broadcast(comps.withColumnRenamed("node", "h1")), "h1", "left").withColumns({"g1": F.coalesce("comp", "h1"), "g2": F.coalesce(F.when(F.col("comp").isNull(), F.col("h2")), F.lit(0).cast("bigint"))})
+    out = r.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), "g1", "g2").join(smallest.drop("n"), ["g1", "g2"], "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"))
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT, orders: int = ORDERS, n: int = WORDS) -> DataFrame:
@@ -173,16 +172,17 @@ def keep_one(docs: DataFrame, percent: int = PERCENT, orders: int = ORDERS, n: i
 
     Rows with an empty set or a null doc_id all stay. Repeated rows are one group like any other copies.
     """
-    rows, group, comps = link(docs.select("doc_id", "text"), percent, orders, n)
-    named = group.select("h1", "h2", "n", "node", F.struct("doc_id", "h").alias("head")).join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    heads = named.join(named.groupBy("comp").agg(F.min("head").alias("best")), "comp").select("h1", "h2", "n", "best")
-    found = rows.filter("n > 0 and doc_id is not null").select("doc_id", "h", "h1", "h2", "n").join(heads, ["h1", "h2", "n"])
-    gone = found.filter((F.col("doc_id") != F.col("best.doc_id")) | (F.col("h") != F.col("best.h"))).select("doc_id", "h").distinct()
-    repeated = found.groupBy("doc_id", "h").count().filter("count > 1").select("doc_id", "h")
-    d = docs.withColumns({"_id": F.col("doc_id").cast("bigint"), "_h": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
-    named_as = lambda x: x.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"))
-    d = d.join(maybe_broadcast(named_as(gone)), ["_id", "_h"], "left_anti")
+    rows, comps = link(docs.select("doc_id", "text"), percent, orders, n)
+    found = grouped(rows, comps)
+    at = F.struct("doc_id", "h")
+    best = found.groupBy("g1", "g2").agg(F.min(at).alias("best"), F.max(at).alias("last"), F.count("*").alias("n")).filter("n > 1")
+    doc, text, place = (own_name(docs, x) for x in ("doc", "text_hash", "place"))
+    same = found.join(best.select("g1", "g2", "best"), ["g1", "g2"]).filter(at != F.col("best")).select("doc_id", "h").distinct()
+    gone = materialize(same.select(F.col("doc_id").alias(doc), F.col("h").alias(text)), "join-gone")
+    repeated = materialize(found.groupBy("doc_id", "h").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias(doc), F.col("h").alias(text)), "join-repeated")
+    d = docs.withColumns({doc: F.col("doc_id").cast("bigint"), text: F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
+    d = d.join(maybe_broadcast(gone), [doc, text], "left_anti")
     if not repeated.isEmpty():
-        again = maybe_broadcast(named_as(repeated))
-        d = d.join(again, ["_id", "_h"], "left_anti").unionByName(d.join(again, ["_id", "_h"], "left_semi").dropDuplicates(["_id", "_h"]))
-    return d.select(*docs.columns)
+        again = maybe_broadcast(repeated)
+        d = d.join(again, [doc, text], "left_anti").unionByName(d.join(again, [doc, text], "left_semi").dropDuplicates([doc, text]))
+    return d.select(*(d[c] for c in docs.columns))
