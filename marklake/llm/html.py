@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marklake.llm.common import small_batches
+from marklake.llm.common import sliced
 
 #: Sizes of the hashed parts of a block's vector, and of the state of a direction.
 PATH, TEXT, COUNTS, HIDDEN = 192, 32, 6, 16
@@ -364,7 +364,7 @@ def extract_page(page: str | None, model: dict, known: dict) -> str:
 def _extractor(model: dict):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}
-        for batch in batches:
+        for batch in sliced(batches):
             pages = [blocks(x or "") for x in batch.column(2).to_pylist()]
             found = scores(model, [vectors(p, known) for p in pages])
             texts = ["\n".join(b.text for b, s in zip(p, z, strict=True) if s > 0) for p, z in zip(pages, found, strict=True)]
@@ -383,6 +383,5 @@ def sample(pages: DataFrame) -> list[str]:
 
 def extract(pages: DataFrame, learn_from: DataFrame | None = None) -> DataFrame:
     """page_id, url, main text and its length of every page."""
-    small_batches(pages.sparkSession)
     model = learn(sample(pages if learn_from is None else learn_from))
     return pages.select(F.col("page_id").cast("bigint"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(_extractor(model), SCHEMA)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from marklake.llm.common import small_batches
+from marklake.llm.common import sliced
 
 #: Bytes of a window, size of the state of a direction, windows that are computed together.
 WINDOW, HIDDEN, BLOCK = 64, 8, 1024
@@ -220,7 +220,7 @@ def sample(docs: DataFrame) -> list[tuple[bytes, str]]:
 
 def _predictor(model: dict | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             found = predict(model, b.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
@@ -229,7 +229,6 @@ def _predictor(model: dict | None):
 
 def identify(docs: DataFrame, learn_from: DataFrame | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every document; the model is trained on the driver from a bounded sample."""
-    small_batches(docs.sparkSession)
     model = train(sample(docs if learn_from is None else learn_from))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("bigint").cast("string")) % 4 == 2, F.lit(False))
     return docs.select(F.col("doc_id").cast("bigint"), held.alias("held_out"), F.col("text").cast("string")).mapInArrow(_predictor(model), SCHEMA)
@@ -237,7 +236,7 @@ def identify(docs: DataFrame, learn_from: DataFrame | None = None) -> DataFrame:
 
 def _annotator(model: dict | None, text: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             found = predict(model, b.column(text).to_pylist())
             columns = [*b.columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*b.schema.names, "_lang_pred", "_score"])
@@ -247,7 +246,6 @@ def _annotator(model: dict | None, text: int):
 
 def annotate(docs: DataFrame, learn_from: DataFrame | None = None) -> DataFrame:
     """All columns of the documents, with _lang_pred and _score."""
-    small_batches(docs.sparkSession)
     model = train(sample(docs if learn_from is None else learn_from))
     schema = StructType([*docs.schema.fields, StructField("_lang_pred", StringType()), StructField("_score", DoubleType())])
     return docs.mapInArrow(_annotator(model, docs.columns.index("text")), schema)

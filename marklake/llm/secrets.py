@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marklake.llm.common import small_batches
+from marklake.llm.common import sliced
 
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -80,7 +80,7 @@ def _scanner(ranks_path: str, pattern: str, most_chars_per_token: float):
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        for b in batches:
+        for b in sliced(batches):
             counts: list[list[int]] = [[], [], [], []]
             digests, spans = [], []
             for text in b.column(1).to_pylist():
@@ -102,7 +102,6 @@ def scan_secrets(docs: DataFrame, ranks_path: str | None = None, pattern: str |
         import public_tokenizers
 
         ranks_path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(_scanner(ranks_path, pattern, most_chars_per_token), SCHEMA)
 
 

@@ -168,28 +168,23 @@ def test_pii_context_of_ips_and_digits_first(spark):
 
 
 def edit(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        old, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            old, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, old + (x != y))
-    return row[-1]
+    import duckdb
 
+    return duckdb.execute("SELECT levenshtein(?, ?)", [a, b]).fetchone()[0]
 
-def line_brute(rows):
-    norm = lambda t: [x.strip(" ") for x in re.sub(" +", " ", re.sub(r"[^\w\n]|_", " ", t.lower())).split("\n")]
 
-    def sim(ws):
-        hs = [xxhash.xxh64_intdigest(w.encode(), 42) for w in dict.fromkeys(ws)]
-        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+def normal_lines(t):
+    return [x.strip(" ") for x in re.sub(" +", " ", re.sub(r"[^\w\n]|_", " ", t.lower())).split("\n")]
+
 
+def line_brute(rows):
+    """Texts after removal by edit similarity alone: all pairs of lines, no SimHash."""
     first = {}
-    for d, t in sorted(set(rows)):
-        for p, line in enumerate(norm(t)):
-            if len(line.split(" ")) >= 5:
-                first.setdefault(line, (d, p))
-    ls = list(first)
-    sims = {x: sim(x.split(" ")) for x in ls}
+    for key in sorted(set(rows)):
+        for p, line in enumerate(normal_lines(key[1])):
+            if line:
+                first.setdefault(line, (key, p))
+    ls = sorted(first, key=len)
     root = {x: x for x in ls}
 
     def find(x):
@@ -199,20 +194,22 @@ def line_brute(rows):
 
     for i, a in enumerate(ls):
         for b in ls[i + 1 :]:
-            if (sims[a] ^ sims[b]).bit_count() <= 3 and 1 - edit(a, b) / max(len(a), len(b)) >= 0.8 - 1e-9:
+            if 0.8 * len(b) > len(a) + 1e-9:
+                break
+            if len(a) >= 4 and edit(a, b) <= 0.2 * len(b) + 1e-9:
                 root[find(a)] = find(b)
     best = {}
     for x in ls:
-        best[find(x)] = min(best.get(find(x), (1 << 60, 0)), first[x])
-    return {d: "\n".join(raw for p, (raw, x) in enumerate(zip(t.split("\n"), norm(t), strict=True)) if len(x.split(" ")) < 5 or best[find(x)] == (d, p)) for d, t in rows}
+        best[find(x)] = min(best.get(find(x), ((1 << 60, ""), 0)), first[x])
+    return {key: "\n".join(raw for p, (raw, x) in enumerate(zip(key[1].split("\n"), normal_lines(key[1]), strict=True)) if not x or best[find(x)] == (key, p)) for key in set(rows)}
 
 
 def test_lines(spark, odd, empty):
     import random
 
     rng = random.Random(2)
-    vocabulary = [f"w{k}" for k in range(60)]
-    base = [" ".join(rng.choice(vocabulary) for _ in range(n)) for n in (6, 12, 30, 60, 300, 700)]
+    vocabulary = [f"w{k}x{k * k}" for k in range(300)]
+    base = [" ".join(rng.choice(vocabulary) for _ in range(n)) for n in (6, 12, 30, 60, 130)]
     rows = []
     for i in range(14):
         picked = []
@@ -221,15 +218,74 @@ def test_lines(spark, odd, empty):
             if rng.random() < 0.5:
                 w[rng.randrange(len(w))] += "x"
             picked.append(" ".join(w).upper() if rng.random() < 0.3 else " ".join(w))
-        rows.append((i, "\n".join([*picked, "short line", f"own line number {i} of {i * i} all", ""])))
+        rows.append((i, "\n".join([*picked, "short line", f"own {chr(97 + i) * 9} number {i * 77777} of {i * i} all", ""])))
     rows += [(50, ""), (51, rows[0][1]), (52, base[0] + "\n" + base[0] + ".")]
     d = spark.createDataFrame([*rows, rows[3], (60, None), (None, base[0])], "doc_id bigint, text string")
     got = lines.dedupe(d, count="gone").collect()
-    want = line_brute(rows)
+    want = {k[0]: v for k, v in line_brute(rows).items()}
     for r in got:
         assert r.text == (want[r.doc_id] if r.doc_id in want else None if r.doc_id == 60 else base[0]), r.doc_id
     assert len(got) == len(rows) + 3
     assert lines.dedupe(empty).count() == 0 and lines.dedupe(odd).columns == odd.columns
+    named = odd.withColumns({c: F.lit(1) for c in ("doc", "text_hash", "out", "_gone", "_id", "gone")})
+    assert lines.dedupe(named, count="n_gone").columns == [*named.columns, "n_gone"]
+
+
+def test_lines_equal_doc_ids_with_other_texts(spark):
+    rows = [(0, "one common line of the first text"), (1, "one common line of the first text\nanother line that stands here alone"), (1, "a unique third text that nobody else has at all"), (1, None)]
+    got = sorted((r.doc_id, r.text or "", r.gone) for r in lines.dedupe(spark.createDataFrame(rows, "doc_id bigint, text string"), count="gone").collect())
+    assert got == sorted([(0, rows[0][1], 0), (1, "another line that stands here alone", 1), (1, rows[2][1], 0), (1, "", 0)])
+
+
+def test_lines_recall(spark):
+    """Links found against edit similarity alone, at all lengths: one changed letter, and one word in twenty replaced, added or left out."""
+    import random
+
+    rng = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    vocabulary = ["".join(rng.choice(letters) for _ in range(rng.choice([2, 3, 3, 5, 6, 8]))) for _ in range(500)]
+    pairs = []
+    for n in (2, 4, 6, 10, 15, 25, 50, 100, 300, 700):
+        for kind in (0, 1):
+            for _ in range(20):
+                w = [rng.choice(vocabulary) for _ in range(n)]
+                v = list(w)
+                for _ in range(max(1, n // 20) if kind else 1):
+                    k = rng.randrange(len(v))
+                    if not kind:
+                        at = rng.randrange(len(v[k]))
+                        v[k] = v[k][:at] + rng.choice(letters) + v[k][at + 1 :]
+                    elif rng.random() < 0.4:
+                        v[k] = rng.choice(vocabulary)
+                    elif rng.random() < 0.5:
+                        v.insert(k, rng.choice(vocabulary))
+                    elif len(v) > 1:
+                        del v[k]
+                a, b = " ".join(w), " ".join(v)
+                if a != b and (kind == 0 or n >= 10) and (len(a) > 1500 or edit(a, b) <= 0.2 * max(len(a), len(b))):
+                    pairs.append((n, kind, a, b))
+    d = spark.createDataFrame([(2 * i + k, p[2 + k]) for i, p in enumerate(pairs) for k in (0, 1)], "doc_id bigint, text string")
+    left = {r.doc_id: r.text for r in lines.dedupe(d).collect()}
+    found = Counter((n, kind) for i, (n, kind, _, _) in enumerate(pairs) if not left[2 * i + 1])
+    total = Counter((n, kind) for n, kind, _, _ in pairs)
+    assert all(left[2 * i] for i in range(len(pairs)))
+    assert all(found[n, 0] == total[n, 0] for n, kind in total if kind == 0)
+    assert sum(found.values()) >= 0.95 * sum(total.values()), sorted((x, found[x], total[x]) for x in total)
+
+
+def test_lines_hot_blocks(spark, monkeypatch):
+    """Lines that share a passage but are not similar, and a large group of near copies, with narrowed blocks."""
+    import random
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    passage = " ".join(word() for _ in range(30))
+    rows = [(i, " ".join(word() for _ in range(30)) + " " + passage) for i in range(40)]
+    base = [word() for _ in range(40)]
+    rows += [(100 + i, " ".join(base[: i % 40] + [f"copy{i}"] + base[i % 40 + 1 :])) for i in range(60)]
+    monkeypatch.setattr(lines, "HOT_CLASSES", 5)
+    left = {r.doc_id: r.text for r in lines.dedupe(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert all(left[i] for i in range(40)) and left[100] and sum(bool(left[100 + i]) for i in range(1, 60)) <= 3
 
 
 def test_lines_short_and_without_spaces(spark):
@@ -239,11 +295,21 @@ def test_lines_short_and_without_spaces(spark):
 
 
 def test_simhash_forms_agree(spark):
-    hs = [[xxhash.xxh64_intdigest(f"{i}-{k}".encode()) - (1 << 63) for k in range(n)] for i, n in enumerate((1, 2, 5, 17, 255, 511))]
+    hs = [[xxhash.xxh64_intdigest(f"{i}-{k}".encode()) - (1 << 63) for k in range(n)] for i, n in enumerate((1, 2, 5, 17, 254, 255, 256, 511, 16_383))]
     d = spark.createDataFrame([(i, h) for i, h in enumerate(hs)], "i int, h array<bigint>")
-    whole = {r.i: r.s for r in d.select("i", lines.simhash(F.col("h")).alias("s")).collect()}
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    want = {i: signed(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))) for i, h in enumerate(hs)}
+    assert {r.i: r.s for r in d.select("i", lines._sliced(F.col("h")).alias("s")).collect()} == want
     packed = d.select("i", F.size("h").alias("n"), F.explode("h").alias("x")).groupBy("i", "n").agg(*lines.packed_sums(F.col("x")))
-    assert {r.i: r.s for r in packed.select("i", lines.packed_simhash(F.col("n")).alias("s")).collect()} == whole
+    assert {r.i: r.s for r in packed.select("i", lines.packed_simhash(F.col("n")).alias("s")).collect()} == want
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.tuples(*[st.lists(st.sampled_from("a b ab ba aab c".split()), min_size=1, max_size=7).map(" ".join)] * 2), min_size=1, max_size=30))
+def test_trimmed_keeps_the_distance(spark, pairs):
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", lines.trimmed(F.col("a"), F.col("b")).alias("r"), lines.similar(F.col("a"), F.col("b")).alias("s")).collect()
+    for x in got:
+        assert edit(x.a, x.b) == edit(x.r.a, x.r.b) and x.s == (edit(x.a, x.b) <= 0.2 * max(len(x.a), len(x.b)) + 1e-9)
 
 
 # 5, packing
@@ -318,12 +384,12 @@ def test_gradients():
 # 7, search
 
 
-def test_search(docs, odd, empty, corpus):
-    search.BLOCK, search.SHARD_DOCS = 4, 10
-    try:
-        got = search.search(docs.repartition(3), F.col("doc_id") % 5 == 0, k=6, query_terms=12).collect()
-    finally:
-        search.BLOCK, search.SHARD_DOCS = 64, 16_384
+def test_search(spark, monkeypatch, docs, odd, empty, corpus):
+    monkeypatch.setattr(search, "BLOCK", 4)
+    monkeypatch.setattr(search, "SHARD_DOCS", 10)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = search.search(docs.repartition(3), F.col("doc_id") % 5 == 0, k=6, query_terms=12).collect()
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
     bags = {i: Counter(search.terms(t)) for i, t in enumerate([*corpus])} | {900: Counter()}
     n, mean = len(bags), sum(sum(c.values()) for c in bags.values()) / len(bags)
     df = Counter(t for c in bags.values() for t in c)
@@ -339,7 +405,37 @@ def test_search(docs, odd, empty, corpus):
     assert search.search(empty).count() == 0 and search.search(odd).count() > 0
 
 
-def test_search_asks_with_all_terms(spark):
+def test_search_leaves_blocks_unread():
+    """The postings that a query reads are those of blocks that can still reach the best; the result is that of reading all."""
+    import random
+
+    rng = random.Random(6)
+    texts = [" ".join(f"w{k % 5}x{rng.randrange(60)}" for _ in range(30)) for k in range(640)] + ["zz " * 4000, ""]
+    shard = search.Shard(30.0)
+    for i, t in enumerate(texts):
+        shard.add(i, t)
+    row = dict(zip((x.split()[0] for x in search.INDEX.split(", ")), shard.row(0), strict=True))
+    index = search.Index(row, 30.0)
+    for q in (0, 7, 640):
+        names = sorted(set(search.terms(texts[q])))
+        numbers, idf = np.array([index.names[t] for t in names]), np.array([1.0 + len(t) for t in names])
+        index.read = 0
+        found = index.top(numbers, idf, 5)
+        n_postings = sum(len(set(search.terms(t)) & set(names)) for t in texts)
+        score = [(sum(w * c[t] * 2.2 / (c[t] + 1.2 * (0.25 + 0.75 * sum(c.values()) / 30.0)) for t, w in zip(names, idf, strict=True) if t in c), d) for d, c in enumerate(Counter(search.terms(t)) for t in texts)]
+        want = sorted(((s, d) for s, d in score if s > 0), key=lambda x: (-round(x[0], 9), x[1]))[:5]
+        assert [(round(s, 6), d) for s, d in found] == [(round(s, 6), d) for s, d in want]
+        assert 0 < index.read <= n_postings
+        seen = index.read
+        assert index.top(numbers, idf, 5, found[-1][0]) == found and index.top(numbers, idf, 5, found[0][0] * 100) == []
+        assert index.read - seen <= seen
+    index.read = 0
+    names = sorted(set(search.terms(texts[0])))
+    index.top(np.array([index.names[t] for t in names]), np.ones(len(names)), 1, 0.0)
+    assert index.read < sum(len(set(search.terms(t)) & set(names)) for t in texts)
+
+
+def test_search_asks_with_all_terms(spark, monkeypatch):
     import random
 
     rng = random.Random(8)
@@ -349,11 +445,9 @@ def test_search_asks_with_all_terms(spark):
     n, mean = len(bags), sum(sum(c.values()) for c in bags) / len(bags)
     df = Counter(t for c in bags for t in c)
     idf = {t: math.log(1 + (n - f + 0.5) / (f + 0.5)) for t, f in df.items()}
-    search.BLOCK, search.SHARD_DOCS, search.QUERY_BLOCK_TERMS = 4, 20, 300
-    try:
-        got = search.search(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(2), F.col("doc_id") % 3 == 1, k=5).collect()
-    finally:
-        search.BLOCK, search.SHARD_DOCS, search.QUERY_BLOCK_TERMS = 64, 16_384, 1_000_000
+    for name, value in (("BLOCK", 4), ("SHARD_DOCS", 20), ("QUERY_BLOCK_TERMS", 300)):
+        monkeypatch.setattr(search, name, value)
+    got = search.search(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(2), F.col("doc_id") % 3 == 1, k=5).collect()
     assert max(len(bags[q]) for q in range(1, n, 3)) > 50
     for q in range(1, n, 3):
         score = {d: sum(idf[t] * c[t] * 2.2 / (c[t] + 1.2 * (0.25 + 0.75 * sum(c.values()) / mean)) for t in sorted(bags[q]) if t in c) for d, c in enumerate(bags)}
