@@ -35,32 +35,46 @@ def _at(path: tuple[str, ...]) -> tuple[Column, Column]:
     return kind, F.try_variant_get(v, "$", "string")
 
 
-def assess(analyzed: DataFrame, policy: Policy) -> DataFrame:
-    """Adds identity, identity_status, identity_code and path_fallback. Duplicates are counted with combined aggregates
-    that are joined back, so one identity held by many records does not gather them in one task."""
-    code: Column
+def derive(policy: Policy, columns: list[str]) -> tuple[Column, Column]:
+    """Identity and code of what is wrong with it, for an analyzed record with these columns; duplicates are not known here."""
     if policy.source == "existing":
-        ident = F.col("identity") if "identity" in analyzed.columns else F.lit(None).cast("string")
-        code = F.when(ident.isNull(), CODES[0])
-    elif policy.source == "path":
-        ident = F.col("path")
-        code = F.when(ident.isNull(), CODES[1])
-    elif not policy.path or not all(policy.path):
-        ident, code = F.lit(None).cast("string"), F.lit(CODES[2])
-    else:
-        kind, text = _at(policy.path)
-        form, _, slug = policy.form.partition(":")
-        ok = {"string": kind == "string", "integer": kind == "integer", "uuid": (kind == "string") & text.rlike(UUID), "slug": (kind == "string") & text.rlike(SLUGS.get(slug or "strictASCII")) & ((F.lower(text) == text) if slug == "unicode" else F.lit(True))}[form]
-        typed = kind.isin("integer", "number") if form == "integer" else kind == "string"
-        wrong = {"string": CODES[5], "integer": CODES[6], "uuid": CODES[7], "slug": CODES[8]}[form]
-        code = F.when(F.size("parse_diagnostics") > 0, CODES[4]).when(kind.isNull(), CODES[3]).when(~typed, CODES[5]).when(~ok, wrong)
-        ident = F.when(code.isNull(), F.lower(text) if form == "uuid" else text)
-    d = analyzed.withColumns({"identity": ident, "identity_code": code})
-    same = d.filter("identity is not null").groupBy("identity").agg(F.count("*").alias("_n")).filter("_n > 1")
-    d = d.join(same, "identity", "left")
+        ident = F.col("identity") if "identity" in columns else F.lit(None).cast("string")
+        return ident, F.when(ident.isNull(), CODES[0])
+    if policy.source == "path":
+        return F.col("path"), F.when(F.col("path").isNull(), CODES[1])
+    if not policy.path or not all(policy.path):
+        return F.lit(None).cast("string"), F.lit(CODES[2])
+    kind, text = _at(policy.path)
+    form, _, slug = policy.form.partition(":")
+    ok = {"string": kind == "string", "integer": kind == "integer", "uuid": (kind == "string") & text.rlike(UUID), "slug": (kind == "string") & text.rlike(SLUGS.get(slug or "strictASCII")) & ((F.lower(text) == text) if slug == "unicode" else F.lit(True))}[form]
+    typed = kind.isin("integer", "number") if form == "integer" else kind == "string"
+    wrong = {"string": CODES[5], "integer": CODES[6], "uuid": CODES[7], "slug": CODES[8]}[form]
+    code = F.when(F.size("parse_diagnostics") > 0, CODES[4]).when(kind.isNull(), CODES[3]).when(~typed, CODES[5]).when(~ok, wrong)
+    return F.when(code.isNull(), F.lower(text) if form == "uuid" else text), code
+
+
+#: Partitions that an identity held by many records is dealt out to.
+SALTS = 32
+
+
+def judge(derived: DataFrame, keys: tuple[str, ...] = ("identity",)) -> DataFrame:
+    """Adds identity_status and counts duplicates into identity_code. derived: path, identity, identity_code, ...
+
+    The rows are dealt out once, by key and salt, so that counting and joining back read the same shuffle and what
+    stands before it (parsing) runs once. Counts are combined before they are shuffled.
+    """
+    d = derived.repartition(*keys, F.pmod(F.xxhash64("path"), F.lit(SALTS)))
+    same = d.filter("identity is not null").groupBy(*keys).agg(F.count("*").alias("_n")).filter("_n > 1")
+    d = d.join(same, list(keys), "left")
     status = F.when(F.col("_n") > 1, "duplicate").when(F.col("identity_code").isNull(), "available").when(F.col("identity_code").isin(CODES[0], CODES[1], CODES[3]), "missing").otherwise("invalid")
+    return d.withColumns({"identity_status": status, "identity_code": F.when(F.col("_n") > 1, CODES[9]).otherwise(F.col("identity_code"))}).drop("_n")
+
+
+def assess(analyzed: DataFrame, policy: Policy) -> DataFrame:
+    """Adds identity, identity_status, identity_code and path_fallback."""
+    ident, code = derive(policy, analyzed.columns)
     fallback = F.col("path") if policy.path_fallback else F.lit(None).cast("string")
-    return d.withColumns({"identity_status": status, "identity_code": F.when(F.col("_n") > 1, CODES[9]).otherwise(F.col("identity_code")), "path_fallback": fallback}).drop("_n")
+    return judge(analyzed.withColumns({"identity": ident, "identity_code": code})).withColumn("path_fallback", fallback)
 
 
 def collisions(assessed: DataFrame) -> DataFrame:

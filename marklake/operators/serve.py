@@ -6,7 +6,7 @@ import re
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marklake import schemas
@@ -101,27 +101,29 @@ def operation_id(r: Resource, what: str) -> str:
 def memberships(records: DataFrame, plan: Plan) -> DataFrame:
     """resource, path, valid, identity, identity_status and diagnostics of every selected record.
 
-    Every resource is a filter on one assessment of the records; give materialized records to keep their reading cheap.
+    Records are read and assessed once, for all resources: what each resource makes of a record is an element of one
+    array, which is exploded; duplicate identities are counted once, by resource.
     """
     needs = plan.registry.needs_structure() or plan.rules.structure
     d = types.assess_all(analysis.analyze(records, structure=needs, wikilinks=plan.rules.wikilinks), plan.registry)
     d = d.withColumn("rule_results", F.array(*(rules.assess(r, d.columns) for r in plan.rules.rules)) if plan.rules.rules else F.array().cast(f"array<struct<rule:string,status:string,evidence:array<{rules.EVIDENCE}>,diagnostics:{schemas.DIAGNOSTICS}>>"))
-    out = None
     none = F.array().cast(schemas.DIAGNOSTICS)
-    for r in plan.resources:
+
+    def seen(r: Resource) -> Column:
         rule = F.get(F.filter("rule_results", lambda x: x["rule"] == r.rule), F.lit(0))
         kind = F.get(F.filter("assessments", lambda x: x["subject"] == r.type), F.lit(0))
-        chosen = d if not r.search_root else d.filter(F.col("path").startswith(r.search_root.rstrip("/") + "/"))
-        if r.mode == "type":
-            chosen = chosen.filter(kind["conforms"]).withColumns({"_ok": F.lit(True), "_d": kind["diagnostics"]})
-        elif r.mode == "rule":
-            chosen = chosen.filter(rule["status"] != "notApplicable").withColumns({"_ok": rule["status"] != "failed", "_d": rule["diagnostics"]})
-        else:
-            chosen = chosen.filter(rule["status"] != "notApplicable").withColumns({"_ok": (rule["status"] != "failed") & kind["conforms"], "_d": F.concat(rule["diagnostics"], kind["diagnostics"])})
-        chosen = identity.assess(chosen, r.policy)
-        part = chosen.select(F.lit(r.name).alias("resource"), "path", (F.col("_ok") & (F.col("identity_status") == "available")).alias("valid"), "identity", "identity_status", F.coalesce("_d", none).alias("diagnostics"))
-        out = part if out is None else out.unionByName(part)
-    return out
+        applies, passed = rule["status"] != "notApplicable", rule["status"] != "failed"
+        chosen, ok, found = {"type": (kind["conforms"], F.lit(True), kind["diagnostics"]), "rule": (applies, passed, rule["diagnostics"]), "typed-rule": (applies, passed & kind["conforms"], F.concat(rule["diagnostics"], kind["diagnostics"]))}[r.mode]
+        if r.search_root:
+            chosen = chosen & F.col("path").startswith(r.search_root.rstrip("/") + "/")
+        ident, code = identity.derive(r.policy, d.columns)
+        return F.when(chosen, F.struct(F.lit(r.name).alias("resource"), ok.alias("ok"), F.coalesce(found, none).alias("diagnostics"), ident.alias("identity"), code.alias("identity_code")))
+
+    if not plan.resources:
+        return d.limit(0).select(F.lit("").alias("resource"), "path", F.lit(True).alias("valid"), F.lit("").alias("identity"), F.lit("").alias("identity_status"), none.alias("diagnostics"))
+    rows = d.select("path", F.explode(F.filter(F.array(*map(seen, plan.resources)), lambda x: x.isNotNull())).alias("x")).select("path", "x.*")
+    found = identity.judge(rows, ("resource", "identity"))
+    return found.select("resource", "path", (F.col("ok") & (F.col("identity_status") == "available")).alias("valid"), "identity", "identity_status", "diagnostics")
 
 
 def envelopes(found: DataFrame) -> DataFrame:

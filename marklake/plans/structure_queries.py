@@ -167,6 +167,21 @@ def j01_links(spark, sf):
     return links.edges(corpora.order_notes(spark, sf)).select("source_path", "raw", "target", "display", E("pos").cast("bigint").alias("pos"))
 
 
+@query(r"""SELECT path AS source_path, unnest(CASE WHEN k % 2 = 0 THEN ['the "top"', concat('n-', k), 'a/b', concat('n-', k)] ELSE [concat('body-', k)] END) AS target, unnest(CASE WHEN k % 2 = 0 THEN [0, 1, 2, 3]::bigint[] ELSE [0]::bigint[] END) AS pos FROM (SELECT n_nationkey AS k, concat('n/', n_nationkey, '.md') AS path FROM nation)""")
+def j03_frontmatter_links(spark, sf):
+    n = spark.read.parquet(f"{sf}/nation.parquet").select(E("n_nationkey").cast("string").alias("k"))
+    front = F.concat(F.lit('---\nup: "[[the \\"top\\"]]"\n"[[key]]": plain\nsee:\n  - "x [[n-'), E("k"), F.lit("|shown]] y\"\n  - deep: {at: '[[a/b]]'}\n---\nBody [[n-"), E("k"), F.lit("]].\n"))
+    text = F.when(E("k").cast("int") % 2 == 0, front).otherwise(F.concat(F.lit("---\nup: none\n---\nBody [[body-"), E("k"), F.lit("]].\n")))
+    d = links.edges(n.select(F.concat(F.lit("n/"), E("k"), F.lit(".md")).alias("path"), text.alias("content")))
+    return d.select("source_path", "target", E("pos").cast("bigint").alias("pos"))
+
+
+@query("SELECT target, file FROM (SELECT lower(replace(r_name, ' ', '-')) AS target, unnest(['archive', 'regions']) AS folder FROM region JOIN nation ON n_regionkey = r_regionkey) t, LATERAL (SELECT concat(t.folder, '/', t.target, '.md') AS file) GROUP BY ALL UNION ALL SELECT lower(replace(n_name, ' ', '-')), concat('nations/', lower(replace(n_name, ' ', '-')), '.md') FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL")
+def j06_candidates(spark, sf):
+    v = corpora.vault(spark, sf)
+    return links.candidates(links.edges(v), links.index(v))
+
+
 @query("SELECT lower(replace(r_name, ' ', '-')) AS stem, 2::bigint AS n FROM region UNION ALL SELECT lower(replace(n_name, ' ', '-')), 1 FROM nation UNION ALL SELECT concat('customer-', c_custkey), 1 FROM customer")
 def j04_stem_index(spark, sf):
     return links.index(corpora.vault(spark, sf)).groupBy("stem").agg(F.count("*").alias("n"))
@@ -208,10 +223,9 @@ def j13_broken_links(spark, sf):
     return links.broken(both_links(spark, sf)).select("source_path", "target")
 
 
-@query(f"SELECT path, 2::bigint AS n_sections, 0::bigint AS n_top_words FROM ({NOTES}) WHERE false")
+@query(f"SELECT path, count(*) AS n_sections FROM ({NOTES}), LATERAL (SELECT unnest([1, 2])) GROUP BY path")
 def a10_explore_counts(spark, sf):
-    d = explore.sections(notes(spark, sf))
-    return d.groupBy("path").agg(F.count("*").alias("n_sections"), F.sum(F.when(E("id") > 9, E("n_words")).otherwise(0)).alias("n_top_words")).filter("n_sections <> 2")
+    return explore.sections(notes(spark, sf)).groupBy("path").agg(F.count("*").alias("n_sections"))
 
 
 @query(f"SELECT path, n_keys::bigint AS n_keys, 2::bigint AS n_headings, 1 + (k % 10 = 0)::bigint AS n_links FROM ({NOTES})")

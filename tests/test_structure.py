@@ -106,3 +106,27 @@ def test_resolution(spark):
     assert r[a, "b"] == ("resolved", "c/b.md", None) and r[a, "sub/deep"][1] == "a/sub/deep.md" and r[a, "../root"][1] == "root.md" and r[a, "x.png"][1] == "img/x.png"
     assert r[a, "gone"][0] == "unresolved" and r[a, ""][1] == a and r[a, "Other/b"][1] == "c/b.md"
     assert r["e/Dup.md", "dup"] == ("ambiguous", None, ["d/dup.md", "e/Dup.md"])
+
+
+def test_links_in_frontmatter_and_long_ones(spark):
+    from marklake.operators import links
+
+    long = "[[" + "a" * 500_000 + "|" + "b\\|" * 100_000 + "]]"
+    rows = [("a.md", '---\na: "[[x]]"\nup: ["[[x]]", "[[z|y]] \\"q\\" [[w]]"]\n---\nsee [[body]]\n'), ("b.md", long), ("c.md", "---\nt: '" + "x" * 300_000 + " [[k]]'\n---\n")]
+    got = {}
+    for r in links.edges(spark.createDataFrame(rows, "path string, content string")).collect():
+        got.setdefault(r.source_path, []).append((r.pos, r.target, r.display))
+    assert sorted(got["a.md"]) == [(0, "x", None), (1, "x", None), (2, "z", "y"), (3, "w", None), (4, "body", None)]
+    assert [(p, len(t), len(d)) for p, t, d in got["b.md"]] == [(0, 500_000, 300_000)] and got["c.md"] == [(0, "k", None)]
+
+
+def test_ambiguous_targets_list_some_and_count_all(spark, monkeypatch):
+    from marklake.operators import links
+
+    rows = [(f"d{i}/readme.md", "x [[readme]] [[d1/readme]]" if i == 3 else "x") for i in range(9)]
+    d = spark.createDataFrame(rows, "path string, content string")
+    monkeypatch.setattr(links, "LISTED", 4)
+    files, edges = links.index(d), links.edges(d)
+    got = {r.target: r for r in links.resolve(edges, files).collect()}
+    assert got["readme"].status == "ambiguous" and got["readme"].candidates == [f"d{i}/readme.md" for i in range(4)]
+    assert links.candidates(edges, files).filter("target = 'readme'").count() == 9
