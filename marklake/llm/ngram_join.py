@@ -49,7 +49,9 @@ def levels(sets: DataFrame) -> bytes:
 
     16 steps an octave over the rarest bucket, 127 at most; BUCKETS bytes, whatever the corpus.
     """
-    counted = sets.select(F.explode("s").alias("h")).groupBy(F.col("h").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")).agg(F.count("*").alias("n"))
+    # An outer explode: the filter that is inferred for an inner one would make the shingles twice.
+    each = sets.select(F.explode_outer("s").alias("h")).filter("h is not null")
+    counted = each.groupBy(F.col("h").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")).agg(F.count("*").alias("n"))
     found = counted.select("bucket", F.log2("n").alias("n")).collect()
     least = min((r.n for r in found), default=0)
     out = bytearray(BUCKETS)
