@@ -15,7 +15,9 @@ from __future__ import annotations
 import html as references
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from math import log1p, sqrt
 
 import numpy as np
@@ -43,7 +45,7 @@ NOT_IN_P = frozenset("address article aside blockquote body details dialog div d
 
 MARKUP = re.compile(
     rf"<!--(?:.*?)(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"""|<(/?)([A-Za-z][^\s/>]*)((?:"[^"<>]*"|'[^'<>]*'|[^>"'])*+|[^>]*)(?:>|\Z)""",
+    r"""|<(/?)([A-Za-z][^\s/>]*)((?:=\s*"[^"<]*"|=\s*'[^'<]*'|[^>"'])*+|[^>]*)(?:>|\Z)""",
     re.S | re.I,
 )
 NAMED = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -53,6 +55,7 @@ NOT_SHOWN = re.compile(r"display\s*:\s*none", re.I)
 PART = re.compile(r"[A-Za-z]+")
 
 
+@lru_cache(maxsize=50_000)
 def _bucket(word: str, size: int) -> int:
     return zlib.crc32(word.encode("utf-8", "replace")) % size
 
@@ -68,19 +71,40 @@ def hides(attributes: str) -> bool:
     return False
 
 
+class Node:
+    """An open element: its tag, the words of its names (None if it is hidden), its parent, and the spots of its ancestors and itself in a vector."""
+
+    __slots__ = ("base", "leaf", "names", "parent", "tag")
+
+    def __init__(self, tag: str, names: tuple | None, parent: Node | None):
+        self.tag, self.names, self.parent = tag, names, parent
+        self.base = (parent.base if parent else frozenset()) | {_bucket(f"t:{tag}", PATH), *(_bucket(f"n:{n}", PATH) for n in names or ())}
+        self.leaf: list[int] | None = None
+
+    def spots(self) -> list[int]:
+        if self.leaf is None:
+            pair = f"{self.parent.tag}/{self.tag}" if self.parent else self.tag
+            self.leaf = sorted(self.base | {_bucket(f"leaf:{self.tag}", PATH), _bucket(f"pair:{pair}", PATH)})
+        return self.leaf
+
+
+TOP = sorted({_bucket("leaf:", PATH), _bucket("pair:", PATH)})
+
+
 class Block:
-    """Text of a leaf, its path of (tag, names) and the characters that are inside links."""
+    """Text of a leaf, the element it stands in and the characters that are inside links."""
 
-    __slots__ = ("links", "path", "text")
+    __slots__ = ("links", "node", "text")
 
-    def __init__(self, text: str, path: tuple, links: int):
-        self.text, self.path, self.links = text, path, links
+    def __init__(self, text: str, node: Node | None, links: int):
+        self.text, self.node, self.links = text, node, links
 
 
 def blocks(page: str) -> list[Block]:
     """Leaf blocks in page order; unclosed and stray tags are tolerated."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple]] = []
+    stack: list[Node] = []
+    opened: Counter = Counter()
     buffer: list[str] = []
     linked: list[int] = [0]
     quiet = link = 0
@@ -89,14 +113,15 @@ def blocks(page: str) -> list[Block]:
         if buffer:
             text = " ".join(references.unescape("".join(buffer)).split())
             if text:
-                out.append(Block(text, tuple(stack), linked[0]))
+                out.append(Block(text, stack[-1] if stack else None, linked[0]))
             buffer.clear()
         linked[0] = 0
 
     def leave(k: int) -> None:
         nonlocal quiet
-        for tag, names in stack[k:]:
-            quiet -= names is None or tag in SILENT
+        for x in stack[k:]:
+            quiet -= x.names is None or x.tag in SILENT
+            opened[x.tag] -= 1
         del stack[k:]
 
     at = 0
@@ -120,22 +145,21 @@ def blocks(page: str) -> list[Block]:
         flush()
         link = 0
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    leave(k)
-                    break
+            if opened[tag]:
+                leave(next(k for k in range(len(stack) - 1, -1, -1) if stack[k].tag == tag))
             continue
-        if tag in NOT_IN_P and stack and stack[-1][0] == "p":
+        if tag in NOT_IN_P and stack and stack[-1].tag == "p":
             leave(len(stack) - 1)
-        if tag == "li" and stack and stack[-1][0] == "li":
+        if tag == "li" and stack and stack[-1].tag == "li":
             leave(len(stack) - 1)
-        if tag == "body":
-            leave(next((k for k, x in enumerate(stack) if x[0] == "head"), len(stack)))
+        if tag == "body" and opened["head"]:
+            leave(next(k for k, x in enumerate(stack) if x.tag == "head"))
         if tag in VOID:
             continue
         attributes = m[4] or ""
         names = None if attributes and hides(attributes) else tuple(w.lower() for n in NAMED.findall(attributes) for w in PART.findall("".join(n))) if attributes else ()
-        stack.append((tag, names))
+        stack.append(Node(tag, names, stack[-1] if stack else None))
+        opened[tag] += 1
         quiet += names is None or tag in SILENT
     if at < len(page) and not quiet:
         buffer.append(page[at:])
@@ -143,18 +167,11 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def vectors(found: list[Block], known: dict) -> np.ndarray:
-    """Vectors of a page's blocks; known: what has been hashed already."""
+def vectors(found: list[Block]) -> np.ndarray:
+    """Vectors of a page's blocks."""
     out = np.zeros((len(found), PATH + TEXT + COUNTS), np.float32)
     for row, b in zip(out, found, strict=True):
-        spots = known.get(b.path)
-        if spots is None:
-            if len(known) > 50_000:
-                known.clear()
-            tags = [t for t, _ in b.path]
-            features = {f"t:{t}" for t in tags} | {f"n:{n}" for _, names in b.path for n in names or ()} | {f"leaf:{tags[-1]}" if tags else "leaf:", f"pair:{'/'.join(tags[-2:])}"}
-            spots = known[b.path] = sorted({_bucket(f, PATH) for f in features})
-        row[spots] = 1
+        row[b.node.spots() if b.node else TOP] = 1
         n, n_words = len(b.text), b.text.count(" ") + 1
         own = b.text.lower().split()
         for w in own:
@@ -339,34 +356,48 @@ def compose(rng: np.random.Generator, words: list[str]) -> tuple[list[Block], np
     return found, label
 
 
+def in_main(node: Node | None) -> bool:
+    """Whether an element is main text by the page's own markup.
+
+    It stands in an article or main element, and nothing between says that it is something else there: no other
+    element than those of text, and no name of a part that is not main text (comments, adverts, shares ...).
+    """
+    while node:
+        if node.tag in ("article", "main"):
+            return not BOILER.keys() & set(node.names or ())
+        if node.tag in ("nav", "aside", "footer", "form", "dialog", "ins") or BOILER.keys() & set(node.names or ()):
+            return False
+        node = node.parent
+    return False
+
+
 def learn(pages: list[str]) -> dict:
-    """A model from pages of the table with a single article or main element, and composed pages."""
-    rng, known, data, words = np.random.default_rng(SEED), {}, [], []
+    """A model from pages of the table with an article or main element, and composed pages."""
+    rng, data, words = np.random.default_rng(SEED), [], []
     for page in pages:
         found = blocks(page)
-        label = np.array([any(t in ("article", "main") for t, _ in b.path) and not any(t in ("nav", "aside", "footer", "form") for t, _ in b.path) for b in found], np.float32)
+        label = np.array([in_main(b.node) for b in found], np.float32)
         words += [w for b in found for w in b.text.split()[:60]][:400]
         if label.any():
-            data.append((vectors(found, known), label))
+            data.append((vectors(found), label))
     words = words or [f"word{k}" for k in range(50)]
     for _ in range(COMPOSED_PAGES):
         found, label = compose(rng, words)
-        data.append((vectors(found, known), label))
+        data.append((vectors(found), label))
     return train(data)
 
 
-def extract_page(page: str | None, model: dict, known: dict) -> str:
+def extract_page(page: str | None, model: dict) -> str:
     found = blocks(page or "")
-    (z,) = scores(model, [vectors(found, known)])
+    (z,) = scores(model, [vectors(found)])
     return "\n".join(b.text for b, s in zip(found, z, strict=True) if s > 0)
 
 
 def _extractor(model: dict):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict = {}
         for batch in sliced(batches):
             pages = [blocks(x or "") for x in batch.column(2).to_pylist()]
-            found = scores(model, [vectors(p, known) for p in pages])
+            found = scores(model, [vectors(p) for p in pages])
             texts = ["\n".join(b.text for b, s in zip(p, z, strict=True) if s > 0) for p, z in zip(pages, found, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
