@@ -20,30 +20,36 @@ BROADCAST_ROWS = 200_000
 def scratch_root(spark: SparkSession) -> str:
     """The folder for intermediate tables: below spark.checkpoint.dir, which all executors share.
 
-    Only where the session names none (tests, one machine) a temporary folder is chosen and set as checkpoint folder.
+    Only a session on one machine (master local) may name none: then a temporary folder is chosen.
     """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = spark.conf.get("marklake.scratch", None)
-        if not root:
-            root = tempfile.mkdtemp(prefix="marklake-")
-            spark.conf.set("marklake.scratch", root)
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = _local_root.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="marklake-")
+        _local_root[spark.sparkContext.applicationId] = root
     return f"{root.rstrip('/')}/marklake-{spark.sparkContext.applicationId}"
 
 
+#: The temporary folders of applications on one machine.
+_local_root: dict[str, str] = {}
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared scratch folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._marklake_path = path
+    return out
 
 
 def discard(df: DataFrame) -> None:
     """Delete a materialized table that nothing reads any more."""
-    spark = df.sparkSession
-    for f in {x.rpartition("/")[0] for x in df.inputFiles()}:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f)
+    spark, location = df.sparkSession, getattr(df, "_marklake_path", None)
+    if location:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(location)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 

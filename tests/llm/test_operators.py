@@ -369,18 +369,51 @@ def test_language_id(spark, docs, odd, empty):
 
 def test_gradients():
     rng = np.random.default_rng(0)
-    u, x, d_out = rng.normal(size=(2, 3, 3)).astype(np.float32), rng.normal(size=(5, 2, 6)).astype(np.float32), rng.normal(size=(5, 2, 3)).astype(np.float32)
+    u, x, d_out = rng.normal(size=(3, 3, 3)).astype(np.float32), rng.normal(size=(5, 2, 9)).astype(np.float32), rng.normal(size=(5, 2, 3)).astype(np.float32)
     for back in (False, True):
         out, gates = langid._forward(x, u, back, True)
         d_x, d_u = langid._backward(out, gates, u, d_out, back)
         loss = lambda x, u, back=back: float((langid._forward(x, u, back, False)[0] * d_out).sum())
-        for at, grad, which in (((2, 1, 4), d_x, 0), ((1, 2, 0), d_u, 1), ((0, 1, 1), d_u, 1)):
+        for at, grad, which in (((2, 1, 1), d_x, 0), ((1, 0, 4), d_x, 0), ((3, 1, 8), d_x, 0), ((0, 2, 0), d_u, 1), ((1, 1, 1), d_u, 1), ((2, 0, 2), d_u, 1)):
             a, b = [x.copy(), u.copy()], [x.copy(), u.copy()]
             a[which][at] += 1e-2
             b[which][at] -= 1e-2
             assert abs((loss(*a) - loss(*b)) / 2e-2 - grad[at]) < 2e-2
 
 
+def test_language_probabilities_are_those_of_the_plain_network():
+    """What production computes, in windows, against the states over the whole text, position by position."""
+    rng = np.random.default_rng(1)
+    hid, langs = 5, ["a", "b", "c"]
+    model = {"langs": langs, "b": rng.normal(size=3).astype(np.float32), "w": rng.normal(size=(2 * hid, 3)).astype(np.float32)}
+    for d in (0, 1):
+        model |= {f"x{d}": rng.normal(size=(256, 3 * hid)).astype(np.float32), f"u{d}": rng.normal(0, 0.3, size=(3, hid, hid)).astype(np.float32)}
+
+    def plain(raw):
+        by = np.frombuffer(raw, np.uint8)[:, None]
+        h = np.concatenate([langid._forward(model[f"x{d}"][by], model[f"u{d}"], bool(d), False)[0] for d in (0, 1)], axis=2)
+        return langid._softmax(h @ model["w"] + model["b"])[:, 0]
+
+    raw = bytes(rng.integers(32, 127, 1000, dtype=np.uint8))
+    got = langid.probabilities(model, np.frombuffer(raw, np.uint8)[None])
+    assert np.allclose(got[:, :, 0].T, plain(raw), atol=1e-4)
+    edge = b"\0" * langid.CONTEXT
+    whole = plain(edge + raw + b"\0" * (-len(raw) % langid.WINDOW) + edge)[langid.CONTEXT :][: len(raw)]
+    windows = langid.probabilities(model, langid._windows(raw), langid.CONTEXT)
+    assert np.abs(windows.transpose(2, 1, 0).reshape(-1, 3)[: len(raw)] - whole).max() < 0.02
+    mask = langid.LETTER[np.frombuffer(raw, np.uint8)]
+    want = (whole * mask[:, None]).sum(0) / mask.sum()
+    (lang, score), (none, zero) = langid.predict(model, [raw.decode(), "123"])
+    assert (none, zero) == ("und", 0.0) and lang == langs[int(want.argmax())] and abs(score - want.max()) < 0.01
+
+
+def test_all_labelled_languages_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_DOCS", 300)
+    rows = [(i * 100 + k, f"text {i} {k}", f"l{i:02d}") for i in range(70) for k in range(6)]
+    found = langid.sample(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert len({lang for _, lang in found}) == 70
+
+
 # 7, search
 
 
@@ -511,7 +544,7 @@ def test_html(spark):
     assert got[None].text == PAGES[0][1]
     assert html.extract(pages.limit(0)).count() == 0
     rows = html.extract(sf).join(sf.select("page_id", "html"), "page_id").collect()
-    wrong = sum(r.text != "\n".join(b.text for b in html.blocks(r.html) if any(t == "article" for t, _ in b.path)) for r in rows)
+    wrong = sum(r.text != "\n".join(b.text for b in html.blocks(r.html) if html.in_main(b.node)) for r in rows)
     assert wrong <= 0.02 * len(rows)
 
 
@@ -520,7 +553,7 @@ def test_html_layouts():
     words = [f"word{k}" for k in range(80)]
     model = html.learn([])
     pages = [html.compose(rng, words) for _ in range(150)]
-    found = html.scores(model, [html.vectors(b, {}) for b, _ in pages])
+    found = html.scores(model, [html.vectors(b) for b, _ in pages])
     errors = sum(int(((s > 0) != (label > 0)).sum()) for s, (_, label) in zip(found, pages, strict=True))
     assert errors < 0.04 * sum(len(label) for _, label in pages)
     assert html.blocks("<p>" * 3000 + "x" + "<div" * 50)[0].text == "x"
@@ -530,7 +563,7 @@ def test_html_vectors_read_all_words():
     for n in (16, 60, 400):
         plain, telling = ["word"] * n, ["word"] * n
         telling[n // 2] = "subscribe"
-        a, b = (html.vectors([html.Block(" ".join(w), (("p", ()),), 0)], {})[0, html.PATH : html.PATH + html.TEXT] for w in (plain, telling))
+        a, b = (html.vectors([html.Block(" ".join(w), html.Node("p", (), None), 0)])[0, html.PATH : html.PATH + html.TEXT] for w in (plain, telling))
         assert (a != b).any(), n
 
 
@@ -543,6 +576,32 @@ def test_html_hidden_and_math():
     assert texts("<p>If <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation encoding='tex'>x=2</annotation></semantics></math> holds, go.</p>") == ["If x=2 holds, go."]
 
 
+def test_html_quotes_depth_and_labels():
+    texts = lambda page: [b.text for b in html.blocks(page)]
+    assert texts('<p title="a > b">hello</p><p data-x=\'1 > 0\' class=y>there</p>') == ["hello", "there"]
+    assert texts("<p x='>one</p><p>two</p>")[-1] == "two" and texts('<p title="open>one</p><p>two</p>')[-1] == "two"
+    deep = "<div class=a>" * 20_000 + "x" + "</span>" * 20_000 + "</div>" * 20_000
+    assert texts(deep) == ["x"]
+    assert texts("<p " + "a=" * 200_000 + ">y</p>")[-1].endswith("y")
+    page = "<main><article><p>text</p><div class='comments'><p>mine</p></div><section id=ad-box><p>buy</p></section><aside>also</aside></article></main><p>out</p>"
+    assert [b.text for b in html.blocks(page) if html.in_main(b.node)] == ["text"]
+    assert [html.in_main(b.node) for b in html.blocks("<article class=comment><p>no</p></article>")] == [False]
+
+
+def test_lstm_gradients():
+    rng = np.random.default_rng(2)
+    hid, size = 3, 4
+    p = {"x0": rng.normal(size=(size, 4 * hid)), "u0": rng.normal(0, 0.5, size=(hid, 4 * hid)), "b0": rng.normal(size=4 * hid)}
+    x, d_out = rng.normal(size=(6, 2, size)), rng.normal(size=(6, 2, hid))
+    loss = lambda p: float((html._lstm(x, p, 0)[0] * d_out).sum())
+    grad = html._lstm_back(x, p, 0, html._lstm(x, p, 0, True)[1], d_out)
+    for name, at in (("x0", (1, 0)), ("x0", (2, 5)), ("x0", (0, 8)), ("x0", (3, 11)), ("u0", (0, 1)), ("u0", (2, 4)), ("u0", (1, 7)), ("u0", (0, 10)), ("b0", (2,)), ("b0", (9,))):
+        a, b = ({k: v.copy() for k, v in p.items()} for _ in range(2))
+        a[name][at] += 1e-2
+        b[name][at] -= 1e-2
+        assert abs((loss(a) - loss(b)) / 2e-2 - grad[name][at]) < 2e-2, (name, at)
+
+
 # 10, n-gram join
 
 
