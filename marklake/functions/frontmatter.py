@@ -17,11 +17,11 @@ SPLIT_TOML = r"(?s)\A\+\+\+\n(?:\+\+\+|(.*?)\n\+\+\+)(?:\r?\n)?(.*)\z"
 
 # Host syntaxes and the file extensions they belong to.
 SYNTAXES = {
-    "c-block": ("/*", "*/", "c h cc cpp cxx hpp hxx m mm swift java kt kts scala js mjs cjs jsx ts mts cts tsx cs go rs dart php css scss less sql jsonc"),
-    "html-comment": ("<!--", "-->", "html htm xhtml xml svg vue svelte"),
-    "python-docstring": ('"""', '"""', "py pyi"),
-    "powershell-block": ("<#", "#>", "ps1 psm1 psd1"),
-    "lua-block": ("--[[", "]]", "lua"),
+    "c-block": ("/*", "*/", ("c", "h", "cc", "cpp", "cxx", "hpp", "hxx", "m", "mm", "swift", "java", "kt", "kts", "scala", "js", "mjs", "cjs", "jsx", "ts", "mts", "cts", "tsx", "cs", "go", "rs", "dart", "php", "css", "scss", "less", "sql", "jsonc")),
+    "html-comment": ("<!--", "-->", ("html", "htm", "xhtml", "xml", "svg", "vue", "svelte")),
+    "python-docstring": ('"""', '"""', ("py", "pyi")),
+    "powershell-block": ("<#", "#>", ("ps1", "psm1", "psd1")),
+    "lua-block": ("--[[", "]]", ("lua",)),
 }
 MARKDOWN = ("md", "markdown")
 
@@ -33,7 +33,7 @@ def extension(path: Column) -> Column:
 
 def content_kind(path: Column) -> Column:
     """markdown, plainText, wrapped or unmapped, by extension."""
-    wrapped = [e for _, _, es in SYNTAXES.values() for e in es.split()]
+    wrapped = [e for _, _, es in SYNTAXES.values() for e in es]
     ext = extension(path)
     return F.when(ext.isin(*MARKDOWN), "markdown").when(ext == "txt", "plainText").when(ext.isin(*wrapped), "wrapped").otherwise("unmapped")
 
@@ -42,7 +42,7 @@ def syntax(path: Column) -> Column:
     """Name of the host syntax of a source file, or null."""
     ext, out = extension(path), None
     for name, (_, _, es) in SYNTAXES.items():
-        out = F.when(ext.isin(*es.split()), name) if out is None else out.when(ext.isin(*es.split()), name)
+        out = F.when(ext.isin(*es), name) if out is None else out.when(ext.isin(*es), name)
     return out
 
 
@@ -84,7 +84,7 @@ def _wrapped_split(content: pa.Array, name: pa.Array) -> pa.Array:
     out = []
     for text, kind in zip(content.to_pylist(), name.to_pylist(), strict=True):
         found = wrapped_blocks(text, *SYNTAXES[kind][:2]) if text is not None and kind in SYNTAXES else []
-        out.append(dict(zip(("form", "raw", "start", "end", "line"), found[0], strict=True)) | {"more": [x[4] for x in found[1:]]} if found else None)
+        out.append(dict(zip(("form", "raw", "start", "end", ("line",)), found[0], strict=True)) | {"more": [x[4] for x in found[1:]]} if found else None)
     return pa.array(out, pa.struct([("form", pa.string()), ("raw", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("line", pa.int32()), ("more", pa.list_(pa.int32()))]))
 
 
@@ -169,7 +169,8 @@ def has(entries: Column, key: str) -> Column:
     return F.exists(entries, lambda e: e["key"] == key)
 
 
-SYSTEM_KEY = "$md-utils"
+#: The key of the engine's own member; deployments that write another one set it here.
+SYSTEM_KEY = "$engine"
 
 
 def user_entries(entries: Column) -> Column:

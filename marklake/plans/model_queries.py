@@ -63,7 +63,7 @@ def a11_conforming_counts(spark, sf):
 @query("SELECT concat('h/', n_nationkey, '.md') AS path, unnest(['note', 'note', 'none']) AS name, unnest([NULL, '9.0.0', NULL]) AS version, unnest([CASE WHEN n_nationkey % 2 = 0 THEN 'confirmed' ELSE 'rejected' END, 'unavailableVersion', 'unknownType']) AS status FROM nation")
 def y05_type_hints(spark, sf):
     n = spark.read.parquet(f"{sf}/nation.parquet")
-    text = F.concat(F.lit('---\n$md-utils:\n  typeHints: [note, {name: note, version: "9.0.0"}, none]\n'), F.when(E("n_nationkey") % 2 == 0, 'date: "2020-01-01"\n').otherwise(""), F.lit("---\nBody\n"))
+    text = F.concat(F.lit(f'---\n{fm.SYSTEM_KEY}:\n  typeHints: [note, {{name: note, version: "9.0.0"}}, none]\n'), F.when(E("n_nationkey") % 2 == 0, 'date: "2020-01-01"\n').otherwise(""), F.lit("---\nBody\n"))
     d = n.select(F.concat(F.lit("h/"), E("n_nationkey").cast("string"), F.lit(".md")).alias("path"), text.alias("content"))
     return types.verify_hints(types.assess_all(analysis.analyze(d), registry()), registry())
 

@@ -175,9 +175,13 @@ def resource_loader(root: str) -> Callable[[str, str | None], dict]:
     return load
 
 
-def type_files(root: str) -> list[str]:
-    """Type definitions below .md-utils/types, by their compound suffixes (IO10)."""
-    top = os.path.join(root, ".md-utils", "types")
+#: The folder of type definitions below a project; deployments with another one give it to `type_files`.
+TYPE_FOLDER = ".engine/types"
+
+
+def type_files(root: str, folder: str = TYPE_FOLDER) -> list[str]:
+    """Type definitions below the project's folder for them, by their compound suffixes (IO10)."""
+    top = os.path.join(root, *folder.split("/"))
     suffixes = (".mdtype.yaml", ".mdtype.yml", ".mdtype.json", ".mdtype.toml")
     return sorted(os.path.join(d, n) for d, _, names in os.walk(top) for n in names if n.lower().endswith(suffixes))
 

@@ -101,7 +101,7 @@ def test_paging():
 
 
 def test_hints(spark):
-    c = '---\n$md-utils:\n  typeHints: [book, {name: note, version: "1"}, 5, book]\ntitle: T\n---\n'
+    c = f'---\n{fm.SYSTEM_KEY}:\n  typeHints: [book, {{name: note, version: "1"}}, 5, book]\ntitle: T\n---\n'
     d = fm.with_frontmatter(spark.createDataFrame([("a", c)], "path string, content string"))
     r = d.select(fm.type_hints(F.col("fm.json")).alias("h"), F.transform(fm.user_entries(F.col("fm.entries")), lambda e: e["key"]).alias("k")).first()
     assert [(h.name, h.version) for h in r.h][:2] == [("book", None), ("note", "1")]
