@@ -1,7 +1,7 @@
 """Operator 3, PII: fixed patterns, and bootstrapped contextual extraction.
 
-Valid matches of the fixed patterns are seeds. The two words in front of a seed are a lexical pattern; other tokens with
-digits that stand behind the same words are instances. Patterns and instances form a graph on which Spark repeats:
+Valid matches of the fixed patterns are seeds. The two words in front of a seed, and the two behind it, are lexical
+patterns; other tokens with digits that stand behind (in front of) the same words are instances. Patterns and instances form a graph on which Spark repeats:
 a pattern's confidence is the mean score of its instances, and an instance's score is the noisy-or of its patterns.
 Instances of high-confidence patterns that no fixed pattern covers are reported as kind `context`.
 DataFrame functions only; the graph is joined and aggregated, never collected.
@@ -40,21 +40,21 @@ CHUNK = 256
 
 
 def located(text: Column, pattern: str) -> Column:
-    """Matches as an array of (s, e, m, before): start and end in code points, the match, and the text since the last one.
+    """Matches as an array of (s, e, m, before, after): start and end in code points, the match, and the text since the last one and up to the next.
 
     What lies between the matches gives their places. Finished parts of the list are set aside every CHUNK matches, so
     that long lists aren't copied for every match.
     """
-    entry = "array<struct<s:int,e:int,m:string,before:string>>"
+    entry = "array<struct<s:int,e:int,m:string,before:string,after:string>>"
 
     def fold(gaps: Column, found: Column) -> Column:
-        pairs = F.transform(found, lambda m, i: F.struct(m.alias("m"), F.get(gaps, i).alias("g")))
+        pairs = F.transform(found, lambda m, i: F.struct(m.alias("m"), F.get(gaps, i).alias("g"), F.left(F.get(gaps, i + 1), F.lit(80)).alias("n")))
         start = F.struct(F.lit(0).alias("at"), F.array().cast(entry).alias("part"), F.array().cast(f"array<{entry}>").alias("parts"))
 
         def step(a: Column, x: Column) -> Column:
             s = a.at + F.length(x.g)
             e = s + F.length(x.m)
-            new = F.array(F.struct(s.alias("s"), e.alias("e"), x.m.alias("m"), F.right(x.g, F.lit(80)).alias("before")))
+            new = F.array(F.struct(s.alias("s"), e.alias("e"), x.m.alias("m"), F.right(x.g, F.lit(80)).alias("before"), x.n.alias("after")))
             full = F.size(a.part) >= CHUNK
             return F.struct(e.alias("at"), F.when(full, new).otherwise(F.concat(a.part, new)).alias("part"), F.when(full, F.concat(a.parts, F.array(a.part))).otherwise(a.parts).alias("parts"))
 
@@ -100,9 +100,11 @@ def base(docs: DataFrame) -> DataFrame:
 
 
 def mentions(docs: DataFrame) -> DataFrame:
-    """doc_id, h, s, e, instance, pattern, seed of everything that may be an identifier and has words in front of it."""
+    """doc_id, h, s, e, instance, pattern, seed of everything that may be an identifier, for the words in front of it and those behind it."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("h"), F.explode(located(text, MENTION)).alias("x"))
+    d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("h"), located(text, MENTION).alias("found"))
+    # An outer explode: the filter that is inferred for an inner one would look for the mentions twice.
+    d = d.select("doc_id", "h", F.explode_outer("found").alias("x")).filter("x is not null")
     m = F.col("x.m")
     seed = (
         F.when(m.rlike(f"^(?:{EMAIL})$"), True)
@@ -111,9 +113,12 @@ def mentions(docs: DataFrame) -> DataFrame:
         .when(m.rlike(r"^[0-9]+(?:[\x20-][0-9]+)*$"), valid("card", m))
         .otherwise(False)
     )
-    near = F.regexp_extract(F.lower(F.col("x.before")), r"(?:^|[\x20\x09-\x0D])((?:[^\x20\x09-\x0D]+[\x20\x09]+)?[^\x20\x09-\x0D]+)[\x20\x09]*$", 1)
-    d = d.select("doc_id", "h", F.col("x.s").alias("s"), F.col("x.e").alias("e"), F.lower(m).alias("instance"), F.regexp_replace(near, SPACE, " ").alias("pattern"), seed.alias("seed"))
-    return d.filter((F.col("pattern") != "") & (F.col("seed") | ((F.col("e") - F.col("s") >= 6) & F.col("instance").rlike("[0-9]"))))
+    front = F.regexp_extract(F.lower(F.col("x.before")), r"(?:^|[\x20\x09-\x0D])((?:[^\x20\x09-\x0D]+[\x20\x09]+)?[^\x20\x09-\x0D]+)[\x20\x09]*$", 1)
+    behind = F.regexp_extract(F.lower(F.col("x.after")), r"^[\x20\x09]*+([^\x20\x09-\x0D]++[\x20\x09]++[^\x20\x09-\x0D]++)[\x20\x09-\x0D]", 1)
+    one = lambda c: F.when(c != "", F.regexp_replace(c, SPACE, " "))
+    d = d.select("doc_id", "h", F.col("x.s").alias("s"), F.col("x.e").alias("e"), F.lower(m).alias("instance"), seed.alias("seed"), F.concat(one(front), F.lit(" <")).alias("front"), F.concat(F.lit("> "), one(behind)).alias("behind"))
+    d = d.filter(F.col("seed") | ((F.col("e") - F.col("s") >= 6) & F.col("instance").rlike("[0-9]")))
+    return d.select("doc_id", "h", "s", "e", "instance", F.explode(F.array("front", "behind")).alias("pattern"), "seed").filter("pattern is not null")
 
 
 def confident(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
