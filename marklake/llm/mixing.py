@@ -44,10 +44,13 @@ def topic(w: Column) -> Column:
     return let(classes, most)
 
 
-def strata(docs: DataFrame) -> DataFrame:
-    """The documents with _source, _lang, _topic and _tokens."""
-    w = words(F.col("text").cast("string"))
-    return docs.withColumns({"_w": w}).withColumns({"_source": F.coalesce(F.col("source").cast("string"), F.lit("")), "_lang": F.coalesce(F.col("lang").cast("string"), F.lit("")), "_topic": topic(F.col("_w")), "_tokens": F.size("_w").cast("bigint")}).drop("_w")
+def strata(docs: DataFrame, topic_column: str | None = None) -> DataFrame:
+    """row (the document's columns), source, lang, topic and tokens. topic_column: a column of topics' numbers that takes the place of the lexical classes."""
+    of = lambda c: F.col("row").getField(c)
+    d = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    d = d.select("row", F.coalesce(of("source").cast("string"), F.lit("")).alias("source"), F.coalesce(of("lang").cast("string"), F.lit("")).alias("lang"), words(of("text").cast("string")).alias("w"))
+    known = topic(F.col("w")) if topic_column is None else F.coalesce(of(topic_column).cast("int"), F.lit(-1))
+    return d.select("row", "source", "lang", known.alias("topic"), F.size("w").cast("bigint").alias("tokens"))
 
 
 def rake(cells: DataFrame, targets: dict[str, dict] | None = None, rounds: int = ROUNDS) -> DataFrame:
@@ -86,32 +89,33 @@ def rake(cells: DataFrame, targets: dict[str, dict] | None = None, rounds: int =
     return w.select(*DIMENSIONS, "tokens", F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens")).otherwise(1.0).alias("ratio"))
 
 
-def assign(docs: DataFrame, targets: dict[str, dict] | None = None, keep: float = KEEP) -> DataFrame:
-    """The documents with _source, _lang, _topic, _tokens, _wanted (copies), _u (hash), _p (probability), _weight and _kept."""
-    d = strata(docs)
-    cells = materialize(d.groupBy(F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic")).agg(F.sum("_tokens").alias("tokens")), "mixing-counts")
-    ratio = rake(cells, targets).select(F.col("source").alias("_source"), F.col("lang").alias("_lang"), F.col("topic").alias("_topic"), (F.lit(keep) * F.col("ratio")).alias("_wanted"))
-    d = d.join(maybe_broadcast(ratio), ["_source", "_lang", "_topic"])
-    u = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("bigint").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("double") / 2**32
-    p = F.least(F.lit(1.0), F.col("_wanted"))
-    return d.withColumns({"_u": u, "_p": p, "_weight": F.when(F.col("_wanted") > 0, F.col("_wanted") / p).otherwise(0.0), "_kept": u < p})
+def assign(docs: DataFrame, targets: dict[str, dict] | None = None, keep: float = KEEP, topic_column: str | None = None) -> DataFrame:
+    """row (the document's columns), source, lang, topic, tokens, wanted (copies), u (hash), p (probability), weight and kept."""
+    d = strata(docs, topic_column)
+    cells = materialize(d.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens")), "mixing-counts")
+    ratio = rake(cells, targets).select("source", "lang", "topic", (F.lit(keep) * F.col("ratio")).alias("wanted"))
+    d = d.join(maybe_broadcast(ratio), ["source", "lang", "topic"])
+    u = F.conv(F.substring(F.md5(F.coalesce(F.col("row.doc_id").cast("bigint").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("double") / 2**32
+    p = F.least(F.lit(1.0), F.col("wanted"))
+    return d.withColumns({"u": u, "p": p, "weight": F.when(F.col("wanted") > 0, F.col("wanted") / p).otherwise(0.0), "kept": u < p})
 
 
 def mix(docs: DataFrame, targets: dict[str, dict] | None = None, keep: float = KEEP) -> DataFrame:
     """Stratum, probability and weight in millionths, and fate of every document."""
     d = assign(docs.select("doc_id", "text", "source", "lang"), targets, keep)
     ppm = lambda c: F.round(F.col(c) * 1_000_000).cast("bigint")
-    return d.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").cast("bigint").alias("topic"), F.col("_tokens").alias("n_tokens"), ppm("_p").alias("p_ppm"), ppm("_weight").alias("weight_ppm"), F.col("_kept").alias("kept"))
+    return d.select(F.col("row.doc_id").cast("bigint").alias("doc_id"), "source", "lang", F.col("topic").cast("bigint").alias("topic"), F.col("tokens").alias("n_tokens"), ppm("p").alias("p_ppm"), ppm("weight").alias("weight_ppm"), "kept")
 
 
-def sample(docs: DataFrame, targets: dict[str, dict] | None = None, keep: float = KEEP) -> DataFrame:
+def sample(docs: DataFrame, targets: dict[str, dict] | None = None, keep: float = KEEP, topic_column: str | None = None) -> DataFrame:
     """The kept documents, with the columns of the input, each as often as its cell asks for.
 
     A cell that has to give more tokens than it holds (keep * ratio above 1) emits every document floor(keep * ratio)
     times, and once more by the hash with the probability that is left, so the expected tokens are those of the targets.
     """
-    times = (F.floor("_wanted") + (F.col("_u") < F.col("_wanted") - F.floor("_wanted")).cast("bigint")).cast("int")
-    return assign(docs, targets, keep).withColumn("_copy", F.explode(F.array_repeat(F.lit(1), times))).select(*docs.columns)
+    times = (F.floor("wanted") + (F.col("u") < F.col("wanted") - F.floor("wanted")).cast("bigint")).cast("int")
+    found = assign(docs, targets, keep, topic_column).withColumn("copy", F.explode(F.array_repeat(F.lit(1), times)))
+    return found.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def oracle_sql(table: str = "documents", rounds: int = ROUNDS, keep: float = KEEP) -> str:
