@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marklake.functions import frontmatter as fm
 from marklake.functions import jsonschema
-from marklake.operators import analysis, collection, export, identity, okf, rules, serve, store, types
+from marklake.operators import analysis, collection, configuration, export, identity, okf, rules, serve, store, types
 from marklake.plans.registry import NOTES, query
 from marklake.sources import corpora, files
 
@@ -269,3 +269,29 @@ def io09_logical_paths(spark, sf):
 @query("SELECT unnest(['rwxr-x---', 'rw-r--r--', '---------']) AS text")
 def io18_permissions(spark, sf):
     return spark.createDataFrame([(0o750,), (0o644,), (0,)], "mode int").select(export.permissions(E("mode")).alias("text"))
+
+
+#: A rule file of the older version and one of the newer.
+OLD_FILE = {"schemaDirectory": "s/", "schemaRules": [{"name": "dated", "schema": "dated.json", "match": {"paths": ["orders/*7.md"], "frontmatter": {"date": {"hasKey": True}}}}, {"name": "free", "schema": "dated.json", "frontmatterRequired": False, "match": {"file": {"pathRegex": "order-1[0-9]\\.md$"}}}]}
+NEW_FILE = {"configVersion": "0.2.0", "rules": [{"name": "headed", "match": {"document": {"hasHeadingAtLevel": {"heading": "Notes", "level": 2}, "lineCount": {"max": 6}}}, "checks": [{"type": "requiredHeading", "heading": "Notes"}, {"type": "maxBodyWords", "max": 9}]}, {"name": "cheap", "match": {"frontmatter": {"customer": {"between": {"from": 1, "to": 50}}, "status": {"in": ["F", "O"]}}}, "checks": [{"type": "frontmatterSchema", "schema": "dated.json"}]}]}
+
+
+@query(f"""WITH n AS ({NOTES}) SELECT path, 'dated' AS rule, 'passed' AS status FROM n WHERE k % 10 = 7 AND k % 5 <> 0
+UNION ALL SELECT path, 'free', CASE WHEN k % 5 = 0 THEN 'failed' ELSE 'passed' END FROM n WHERE k BETWEEN 10 AND 19
+UNION ALL SELECT path, 'headed', CASE WHEN {_WORDS} <= 9 THEN 'passed' ELSE 'failed' END FROM n WHERE n_lines <= 6
+UNION ALL SELECT path, 'cheap', CASE WHEN k % 5 = 0 THEN 'failed' ELSE 'passed' END FROM n WHERE c BETWEEN 1 AND 50 AND s IN ('F', 'O')""")
+def r01_rule_files(spark, sf):
+    load = {"s/dated.json": {"required": ["date"]}, "schemas/dated.json": {"required": ["date"]}}.__getitem__
+    made, bad = configuration.compile_rules([*configuration.decode(OLD_FILE, load), *configuration.decode(NEW_FILE, load)], registry(), spark=spark)
+    assert made, bad
+    return rules.assess_all(analyzed(spark, sf), made).filter("status <> 'notApplicable'").select("path", "rule", "status")
+
+
+@query("SELECT unnest(['rules[0].name', 'rules[1].name', 'rules[2].name', 'rules[3]', 'rules[4].applicability.requirements[0]', 'rules[4].applicability.requirements[1]', 'rules[5].capabilities', 'rules[6].applicability.types', 'rules[7].checks', 'rules[8].applicability.requirements[0]', 'rules[8].checks']) AS location, unnest(['rule.name.invalid', 'rule.name.duplicate', 'rule.name.duplicate', 'rule.identifier.duplicate', 'rule.operand.invalid', 'rule.operand.invalid', 'rule.capability.missing', 'rule.type.missing', 'rule.schema.unresolved', 'rule.feature.unsupported', 'rule.feature.unsupported']) AS code")
+def r02_compile_codes(spark, sf):
+    heading = rules.Check("c", "requiredHeading", "H")
+    wrong = [
+        rules.Rule(" a", ("*",)), rules.Rule("b", ("*",)), rules.Rule("b", ("*",)), rules.Rule("c", ("*",), checks=(heading, heading)), rules.Rule("d", fields=(("k", "regex", "(?P<n>x)"),), record=(("lineCount", (3, 1)),)),
+        rules.Rule("e", query="a"), rules.Rule("f", any_types=("none",)), rules.Rule("g", ("*",), checks=(rules.Check("s", "frontmatterSchema", "gone.json"),)), rules.Rule("h", fields=(("k", "nope", 1),), checks=(rules.Check("x", "nope", 1),)),
+    ]
+    return spark.createDataFrame([x[:2] for x in configuration.diagnose(wrong, registry(), {"jmespath"}, spark)], "location string, code string")

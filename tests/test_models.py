@@ -131,3 +131,28 @@ def test_serving(spark):
     assert serve.respond(found, plan, "/notes", "1")[0] == 409 and serve.respond(found, plan, "/notes", "2")[0] == 200 and serve.respond(found, plan, "/notes", "9")[0] == 404 and serve.respond(found, plan, "/gone")[0] == 404 and serve.respond(found, plan, "/notes", "")[0] == 400
     assert serve.respond(found, plan, "/notes", "orders/a.md", "path")[0] == 200
     assert serve.openapi(plan)["openapi"] == "3.1.1"
+
+
+@pytest.mark.parametrize(
+    ("data", "code"),
+    [
+        ("{", "invalid-serialization"), ([], "invalid-serialization"), ({"configVersion": ""}, "invalid-field"), ({"configVersion": "9"}, "unsupported-version"), ({"rules": []}, "unsupported-feature"), ({"configVersion": "0.2.0", "schemaRules": []}, "unsupported-feature"),
+        ({"schemaRules": [{"name": "a", "match": {"paths": ["*"]}}]}, "invalid-field"), ({"schemaRules": [{"name": "a", "schema": "s", "match": {}}]}, "invalid-field"), ({"configVersion": "0.2.0", "rules": [{"name": "a", "match": {"paths": ["*"]}, "checks": []}]}, "invalid-field"),
+        ({"configVersion": "0.2.0", "rules": [{"name": "a", "match": {"paths": ["*"]}, "checks": [{"type": "x"}]}]}, "unsupported-feature"), ({"configVersion": "0.2.0", "rules": [{"name": "a", "match": {"paths": ["*"]}, "checks": [{"type": "maxBodyLines", "max": -1}]}]}, "invalid-field"),
+        ({"schemaRules": [{"name": "a", "schema": "s", "match": {"frontmatter": {"k": {"hasKey": False}}}}]}, "invalid-field"), ({"schemaRules": [{"name": "a", "schema": "s", "match": {"frontmatter": {"k": {"between": {"from": 2, "to": 1}}}}}]}, "invalid-field"), ({"schemaRules": [{"name": "a", "schema": "s", "match": {"document": {"lineCount": {}}}}]}, "invalid-field"),
+        ({"schemaRules": [{"name": "a", "schema": "s", "match": {"frontmatter": {"k": {"nope": 1}}}}]}, "unsupported-feature"), ({"schemaRules": [{"name": "a", "schema": "s", "match": {"paths": ["*"]}}] * 2}, "invalid-field"),
+    ],
+)
+def test_rule_files_that_are_wrong(data, code):
+    from marklake.operators import configuration
+
+    with pytest.raises(rules.RuleError) as e:
+        configuration.decode(data)
+    assert e.value.code == code
+
+
+def test_rule_files_keep_references():
+    from marklake.operators import configuration
+
+    (r,) = configuration.decode({"schemaRules": [{"name": "a", "schema": "x.json", "frontmatterRequired": False, "match": {"file": {"extensionIn": [".MD", "txt"]}}}]})
+    assert r.checks[0].operand == "x.json" and r.checks[0].presence == "optional" and r.checks[0].id == "a.check[0]" and r.record == (("extensionIn", ["md", "txt"]),)
