@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marklake.functions import frontmatter as fm
 from marklake.functions import jsonschema
-from marklake.operators import analysis, collection, configuration, export, identity, okf, rules, serve, store, types
+from marklake.operators import analysis, collection, configuration, endpoints, export, identity, okf, rules, serve, store, types
 from marklake.plans.registry import NOTES, query
 from marklake.sources import corpora, files
 
@@ -295,3 +295,36 @@ def r02_compile_codes(spark, sf):
         rules.Rule("e", query="a"), rules.Rule("f", any_types=("none",)), rules.Rule("g", ("*",), checks=(rules.Check("s", "frontmatterSchema", "gone.json"),)), rules.Rule("h", fields=(("k", "nope", 1),), checks=(rules.Check("x", "nope", 1),)),
     ]
     return spark.createDataFrame([x[:2] for x in configuration.diagnose(wrong, registry(), {"jmespath"}, spark)], "location string, code string")
+
+
+def _endpoint(name: str, route: str, selection: dict, **more) -> dict:
+    return {"name": name, "route": route, "operations": ["list", "get"], "selection": selection, **more}
+
+
+SERVED = {"serverConfigVersion": "1", "resources": [
+    _endpoint("notes", "/notes", {"mode": "type", "type": "note", "searchRoot": "orders/"}, identityPolicy={"source": "frontmatter", "path": ["id"], "format": "integer"}), _endpoint("dated", "/dated", {"mode": "rule", "rule": "dated"}, operations=["list"]),
+    _endpoint("strict", "/strict/orders", {"mode": "ruleWithExpectedType", "rule": "strict", "type": "order"}, operationIDOverrides=[{"operation": "get", "operationID": "one"}]),
+]}
+
+
+@query(f"{_MEMBERS} SELECT resource, count(*) AS n, count_if(valid)::bigint AS n_valid FROM m GROUP BY resource")
+def v01_configured_resources(spark, sf):
+    made, bad = endpoints.compile_plan(SERVED, compiled(), registry())
+    assert made, bad
+    return serve.memberships(corpora.order_notes(spark, sf), made).groupBy("resource").agg(F.count("*").alias("n"), F.count_if("valid").alias("n_valid"))
+
+
+@query("""SELECT * FROM (VALUES ('resources[0].name', 'endpoint.resource.invalid-name'), ('resources[0].route', 'endpoint.route.unsafe'), ('resources[1].name', 'endpoint.resource.duplicate-name'), ('resources[2].name', 'endpoint.resource.duplicate-name'), ('resources[2].operations', 'endpoint.operation.missing'),
+('resources[3].operations', 'endpoint.operation.duplicate'), ('resources[3].operationIDOverrides[0]', 'endpoint.operation-id.duplicate-override'), ('resources[3].operationIDOverrides[1]', 'endpoint.operation-id.duplicate-override'), ('resources[3].operationIDOverrides[1].operationID', 'endpoint.operation-id.invalid'),
+('resources[4].operationIDOverrides[0]', 'endpoint.operation-id.disabled-operation'), ('resources[4].selection.rule', 'endpoint.reference.rule-missing'), ('resources[5].selection.type', 'endpoint.reference.type-missing'), ('resources[5].selection.searchRoot', 'endpoint.selection.invalid-search-root'),
+('resources[6].route', 'endpoint.route.reserved'), ('resources[7].operations.get', 'endpoint.route.collision'), ('resources[8].operations.list', 'endpoint.route.collision'), ('resources[8].operations.list', 'endpoint.operation-id.duplicate'), ('resources[9].operations.list', 'endpoint.operation-id.duplicate'), ('serverConfigVersion', 'endpoint.configuration.unsupported-version')) t(location, code)""")
+def v02_plan_codes(spark, sf):
+    rule = {"mode": "rule", "rule": "dated"}
+    over = lambda *x: [{"operation": op, "operationID": i} for op, i in x]
+    wrong = [
+        _endpoint(" a", "/a/../b", rule), _endpoint("b", "/b", rule), _endpoint("b", "/c", rule, operations=[]), _endpoint("d", "/d", rule, operations=["get", "get"], operationIDOverrides=over(("get", "x"), ("get", " "))),
+        _endpoint("e", "/e", {"mode": "rule", "rule": "none"}, operations=["list"], operationIDOverrides=over(("get", "y"))), _endpoint("f", "/f", {"mode": "type", "type": "none", "searchRoot": "../x/"}), _endpoint("g", f"/{endpoints.NAMESPACE}/x", rule),
+        _endpoint("h", "/h", rule), _endpoint("i", "/h/list", rule, operations=["list"]), _endpoint("j", "/j", rule, operations=["list"], operationIDOverrides=over(("list", "i.list"))),
+    ]
+    version, found = endpoints.decode({"serverConfigVersion": "2", "resources": wrong})
+    return spark.createDataFrame(endpoints.diagnose(version, found, compiled(), registry()), "location string, code string")
