@@ -289,3 +289,22 @@ def s24_body(spark, sf):
 def s21_lines(spark, sf):
     d = corpora.order_notes(spark, sf).select("path", fm.split(E("content"))["body"].alias("body"))
     return d.select("path", bodies.line_range(E("body"), 3, 3).alias("line"), bodies.line_of(E("body"), F.instr("body", "For") - 1).cast("bigint").alias("number"))
+
+
+#: Values by a nation's key modulo 8, as YAML and what they are.
+BLANKS = (("''", "emptyString"), ("[]", "emptyArray"), ("{}", "emptyObject"), ("null", None), ("0", None), ("' '", None), ("[x]", None), ("2021-02-03T04:05:06Z", None))
+#: operator, operand, the remainders (modulo 8) for which it holds.
+BLANK_TESTS = (
+    ("empty", True, (0, 1, 2)), ("emptyString", True, (0,)), ("emptyArray", True, (1,)), ("emptyObject", True, (2,)), ("notEmpty", True, (3, 4, 5, 6, 7)), ("typeIs", "null", (3,)), ("typeIs", "number", (4,)), ("typeIs", "array", (1, 6)), ("typeIs", "object", (2,)),
+    ("includes", "x", (6,)), ("notIncludes", "x", (1,)), ("equals", 0, (4,)), ("doesntEqual", 0, (0, 1, 2, 3, 5, 6, 7)), ("in", ["", 0], (0, 4)), ("notIn", ["", 0], (1, 2, 3, 5, 6, 7)), ("after", "2021-02-03T04:05:05Z", (7,)), ("onOrAfter", "2021-02-03", (7,)), ("before", "2021-02-04", (7,)), ("between", ("2021-02-03", "2021-02-03"), (7,)), ("doesntHaveKey", True, ()),
+)
+
+
+@query("WITH n AS (SELECT n_nationkey % 8 AS m FROM nation) " + " UNION ALL ".join(f"SELECT '{i} {op}' AS test, count_if(m IN ({', '.join(map(str, (*held, -1)))}))::bigint AS n FROM n" for i, (op, _, held) in enumerate(BLANK_TESTS)))
+def q11_blank_values(spark, sf):
+    k = E("n_nationkey") % 8
+    value = F.lit("")
+    for i, (text, _) in enumerate(BLANKS):
+        value = F.when(k == i, F.lit(text)).otherwise(value)
+    n = spark.read.parquet(f"{sf}/nation.parquet").select(F.concat(F.lit("n/"), E("n_nationkey").cast("string"), F.lit(".md")).alias("path"), F.concat(F.lit("---\nv: "), value, F.lit("\n---\nBody\n")).alias("content"))
+    return _stack(fm.with_frontmatter(n), [(f"{i} {op}", predicates.field(E("fm.entries"), "v", op, operand)) for i, (op, operand, _) in enumerate(BLANK_TESTS)])

@@ -328,3 +328,22 @@ def v02_plan_codes(spark, sf):
     ]
     version, found = endpoints.decode({"serverConfigVersion": "2", "resources": wrong})
     return spark.createDataFrame(endpoints.diagnose(version, found, compiled(), registry()), "location string, code string")
+
+
+#: Fails in every part that it has: heading, relationship, path, presence, structure, syntax.
+STRICT_TYPE = {
+    "name": "strict", "version": "1.0.0", "frontmatter": {"presence": "required", "schemas": [{"id": "s", "schema": {"required": ["v"]}}]},
+    "body": {"constraints": [{"id": "h", "heading": {"text": "Top", "level": 1}}, {"id": "r", "headingRelationship": {"parent": "Top", "child": "Sub", "relationship": "directChild"}}]}, "context": {"constraints": [{"id": "p", "path": {"glob": "good/*"}}]},
+}
+
+
+@query("""WITH n AS (SELECT n_nationkey AS k, n_nationkey % 5 AS m FROM nation)
+SELECT k::bigint AS k, unnest(CASE m WHEN 0 THEN [] WHEN 1 THEN ['body.heading.missing', 'body.heading.relationship'] WHEN 2 THEN ['body.heading.relationship', 'context.path.mismatch'] WHEN 3 THEN ['frontmatter.presence.required', 'frontmatter.schema.required-property']
+ELSE ['record.frontmatter.syntax-unavailable', 'record.markdown-structure.unsupported', 'record.markdown-structure.unsupported'] END) AS code FROM n""")
+def c04_failing_records(spark, sf):
+    m = E("n_nationkey") % 5
+    front, headed = F.lit("---\nv: 1\n---\n"), F.lit("# Top\n\n## Sub\n")
+    path = F.concat(F.when(m == 2, "bad/").otherwise("good/"), E("n_nationkey").cast("string"), F.when(m == 4, ".zzz").otherwise(".md"))
+    text = F.when(m == 1, F.concat(front, F.lit("# Other\n"))).when(m == 2, F.concat(front, F.lit("# Top\n\n# Sub\n"))).when(m == 3, headed).otherwise(F.concat(front, headed))
+    d = analysis.analyze(spark.read.parquet(f"{sf}/nation.parquet").select(E("n_nationkey").alias("k"), path.alias("path"), text.alias("content")))
+    return d.select(E("k").cast("bigint").alias("k"), F.explode(types.assess(types.from_mapping(STRICT_TYPE))["diagnostics"]).alias("d")).select("k", "d.code")
