@@ -14,7 +14,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -57,10 +59,13 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def random_spans(text: str, taken: list[tuple[int, int, int]], n_tokens, most_chars_per_token: float) -> list[tuple[int, int]]:
     """Runs that take more tokens than prose would, or else their parts that do, where no fixed pattern has reported."""
     out = []
+    starts = [a for a, _, _ in taken]
+    reach = list(accumulate((b for _, _, b in taken), max))  # how far the spans up to each reach
     random = lambda s, e: e - s < most_chars_per_token * n_tokens(text[s:e])
     for m in RUN.finditer(text):
         s, e = m.span()
-        if any(a < e and s < b for a, _, b in taken) or KNOWN.fullmatch(m[0]):
+        before = bisect_left(starts, e)
+        if (before and reach[before - 1] > s) or KNOWN.fullmatch(m[0]):
             continue
         if random(s, e):
             out.append((s, e))
