@@ -72,15 +72,13 @@ def link_buckets(members: DataFrame, near: Callable[[Callable[[str], Column], Ca
     members, as a Column from accessors of their columns. verify: keeps the true links of pairs (a, b).
     Returns (node, comp) of the linked nodes, and the links found.
 
-    Round one compares every member with its bucket's pivot (lowest rank, then node): one pair per member at most.
+    Round one compares every member with its bucket's pivot (one of the lowest rank): one pair per member at most.
     What that connects needs no further comparing. Round two compares, in buckets that still hold several components,
     every member outside the bucket's largest component with all members of other components, so no link between
     components is missed. Pivots and component sizes are aggregates; the joins on buckets can be split.
     """
-    keys = members.groupBy("bucket").agg(F.count("*").alias("n_members"), F.min("rank").alias("least")).filter("n_members > 1").select("bucket", "least")
-    shared = materialize(members.join(keys, "bucket"), f"{name}-shared")
-    pivots = shared.filter("rank = least").groupBy("bucket").agg(F.min("node").alias("pivot"))
-    shared = materialize(shared.join(pivots, "bucket").drop("least"), f"{name}-buckets")
+    pivots = members.groupBy("bucket").agg(F.count("*").alias("n_members"), F.min_by("node", "rank").alias("pivot")).filter("n_members > 1").select("bucket", "pivot")
+    shared = materialize(members.join(pivots, "bucket"), f"{name}-buckets")
     a, b = shared.filter("node = pivot").alias("a"), shared.filter("node <> pivot").alias("b")
     at = lambda side: lambda c: F.col(f"{side}.{c}")
     first = a.join(b, (at("a")("bucket") == at("b")("bucket")) & near(at("a"), at("b"))).select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
