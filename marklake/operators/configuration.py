@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 
 from marklake.functions import jmespath, jsonschema, predicates
 from marklake.operators import types
-from marklake.operators.rules import Check, Compiled, Rule, RuleError
+from marklake.operators.rules import Check, Compiled, Rule, RuleError, java_pattern
 
 # The members that each object of a rule file may have, by version of the file.
 LEGACY, CURRENT = "0.1.0", "0.2.0"
@@ -184,20 +184,6 @@ def decode(data: dict | str, load: Callable[[str], dict] | None = None) -> list[
     return out
 
 
-def java_pattern(spark: SparkSession | None, pattern: str) -> bool:
-    """Whether the engine's regular expressions take a pattern: those of the JVM, which evaluate it."""
-    spark = spark or SparkSession.getActiveSession()
-    if spark is None:
-        return True
-    try:
-        spark.sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
-    except Exception as e:  # py4j wraps the JVM's PatternSyntaxException
-        if "PatternSyntaxException" in str(e):
-            return False
-        raise
-    return True
-
-
 def diagnose(rules: list[Rule], registry: types.Registry | None = None, lacks: Iterable[str] = (), spark: SparkSession | None = None) -> list[tuple[str, str, str]]:
     """(location, code, message) of everything that is wrong with the rules, sorted (R2). lacks: capabilities that the runtime does not have."""
     out, names, known = [], Counter(r.name for r in rules), {t.name for t in registry.types} if registry else set()

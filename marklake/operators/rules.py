@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 import json
-import re
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marklake import schemas
 from marklake.functions import jmespath, jsonschema, predicates
-from marklake.operators import types
+from marklake.operators import analysis, types
 
 VERSIONS = ("0.1.0", "0.2.0")
 FILE_PREDICATES = ("pathRegex", "filenameEquals", "extensionIn", "modifiedAfter", "modifiedBefore")
@@ -167,11 +166,23 @@ class Compiled:
         return out
 
 
-def _pattern(rule: str, pattern: str) -> None:
+def java_pattern(spark: SparkSession | None, pattern: str) -> bool:
+    """Whether the engine's regular expressions take a pattern: those of the JVM, which evaluate it."""
+    spark = spark or SparkSession.getActiveSession()
+    if spark is None:
+        return True
     try:
-        re.compile(pattern)
-    except re.error as e:
-        raise RuleError("invalid-regex", f"{rule}: {e}") from e
+        spark.sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
+    except Exception as e:  # py4j wraps the JVM's PatternSyntaxException
+        if "PatternSyntaxException" in str(e):
+            return False
+        raise
+    return True
+
+
+def _pattern(rule: str, pattern: str) -> None:
+    if not java_pattern(None, pattern):
+        raise RuleError("invalid-regex", f"{rule}: {pattern}")
 
 
 def _said(name: str, holds: Column, available: Column | None = None) -> Column:
@@ -244,6 +255,12 @@ def assess_all(analyzed: DataFrame, compiled: Compiled) -> DataFrame:
     return analyzed.select("path", F.explode(rows).alias("a")).select("path", "a.*")
 
 
+def validate(records: DataFrame, compiled: Compiled) -> DataFrame:
+    """Assesses records (path, content) that have not been analyzed: what no rule's globs allow is never parsed."""
+    wanted = records.filter(F.coalesce(compiled.candidates(F.col("path")), F.lit(True)))
+    return assess_all(analysis.analyze(wanted, structure=compiled.structure, wikilinks=compiled.wikilinks), compiled)
+
+
 def files_matching(analyzed: DataFrame, compiled: Compiled, name: str) -> DataFrame:
     """Paths to which a rule applies."""
     return assess_all(analyzed, Compiled(tuple(r for r in compiled.rules if r.name == name), compiled.registry, compiled.structure, compiled.wikilinks)).filter("status <> 'notApplicable'").select("path")

@@ -347,3 +347,10 @@ def c04_failing_records(spark, sf):
     text = F.when(m == 1, F.concat(front, F.lit("# Other\n"))).when(m == 2, F.concat(front, F.lit("# Top\n\n# Sub\n"))).when(m == 3, headed).otherwise(F.concat(front, headed))
     d = analysis.analyze(spark.read.parquet(f"{sf}/nation.parquet").select(E("n_nationkey").alias("k"), path.alias("path"), text.alias("content")))
     return d.select(E("k").cast("bigint").alias("k"), F.explode(types.assess(types.from_mapping(STRICT_TYPE))["diagnostics"]).alias("d")).select("k", "d.code")
+
+
+@query(f"SELECT path, 'dated' AS rule, 'passed' AS status FROM ({NOTES}) WHERE k % 10 = 7")
+def j11_pruned_validation(spark, sf):
+    load = {"s/dated.json": {"required": ["date"]}}.__getitem__
+    made, _ = configuration.compile_rules(configuration.decode({**OLD_FILE, "schemaRules": OLD_FILE["schemaRules"][:1]}, load), spark=spark)
+    return rules.validate(corpora.order_notes(spark, sf), made).select("path", "rule", "status")

@@ -23,7 +23,7 @@ def list_files(root: str, recursive: bool = True, extensions: tuple[str, ...] |
     import re
 
     rules = [re.compile(predicates.exclude_glob(p if p.startswith("/") else f"{root.rstrip('/')}/{p}").replace(r"\z", r"\Z")) for p in exclude]
-    wrapped = {e for _, _, es in fm.SYNTAXES.values() for e in es.split()}
+    wrapped = {e for _, _, es in fm.SYNTAXES.values() for e in es}
     wanted = None if extensions is None else {e.lower() for e in extensions} | ({"txt"} | wrapped if include_non_md else set())
     out = []
     for top, folders, names in os.walk(root):
@@ -42,7 +42,7 @@ def list_files(root: str, recursive: bool = True, extensions: tuple[str, ...] |
 def expand(paths: list[str], **options) -> list[str]:
     """Files and folders to files; a single source file that is named outright is taken, an unmapped one is an error (IO3)."""
     out: list[str] = []
-    wrapped = {e for _, _, es in fm.SYNTAXES.values() for e in es.split()}
+    wrapped = {e for _, _, es in fm.SYNTAXES.values() for e in es}
     for p in paths:
         if os.path.isdir(p):
             out += list_files(p, **options)
