@@ -6,6 +6,8 @@ import json
 from dataclasses import dataclass
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -173,7 +175,9 @@ def java_pattern(spark: SparkSession | None, pattern: str) -> bool:
         return True
     try:
         spark.sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
-    except Exception as e:  # py4j wraps the JVM's PatternSyntaxException
+    except IllegalArgumentException:  # what a PatternSyntaxException becomes once SQL is set up
+        return False
+    except Py4JJavaError as e:
         if "PatternSyntaxException" in str(e):
             return False
         raise
