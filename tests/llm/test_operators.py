@@ -302,6 +302,68 @@ def test_lines_hot_blocks(spark, monkeypatch):
     assert all(left[i] for i in range(40)) and left[100] and sum(bool(left[100 + i]) for i in range(1, 60)) <= 3
 
 
+def test_lines_hot_blocks_lose_no_pair(spark, monkeypatch):
+    """Two lines of a block that may be similar share a block of the dealt out ones, too, whatever their SimHashes."""
+    import random
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.choice([2, 4, 7])))
+    passage = " ".join(word() for _ in range(40))
+    rows = [(i, passage + " " + " ".join(word() for _ in range(rng.randrange(1, 16)))) for i in range(80)]
+    found = lines.materialize(lines.occurrences(spark.createDataFrame(rows, "doc_id bigint, text string")), "test")
+
+    def pairs() -> set:
+        m = lines.members(found)
+        a, b = m.alias("a"), m.alias("b")
+        near = lines.near(lambda c: F.col(f"a.{c}"), lambda c: F.col(f"b.{c}"))
+        return {tuple(r) for r in a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.node") < F.col("b.node")) & near).select("a.node", "b.node").collect()}
+
+    want = pairs()
+    monkeypatch.setattr(lines, "HOT_CLASSES", 5)
+    assert len(want) > 500 and pairs() == want
+
+
+def test_lines_letter_pairs_keep_similar_lines(spark):
+    """Whatever edits are made, two pairs of letters are lost for each, at most; unlike lines are told apart."""
+    import random
+
+    rng = random.Random(5)
+    pairs = []
+    for _ in range(300):
+        a = "".join(rng.choice("aabcdä ") for _ in range(rng.randrange(4, 60)))
+        b, k = list(a), rng.randrange(0, 6)
+        for _ in range(k):
+            at, what = rng.randrange(len(b)), rng.randrange(3)
+            b[at : at + (what != 1)] = rng.choice("abcdä ") if what < 2 or len(b) < 3 else ""
+        pairs.append((a, "".join(b), k))
+    d = spark.createDataFrame(pairs, "a string, b string, k int").select("k", lines.pair_bits(F.col("a")).alias("a"), lines.pair_bits(F.col("b")).alias("b"))
+    lost = lambda x, y: sum(bin((p & ~q) & ((1 << 64) - 1)).count("1") for p, q in zip(x, y, strict=True))
+    assert all(max(lost(r.a, r.b), lost(r.b, r.a)) <= 2 * r.k for r in d.collect())
+    far = spark.createDataFrame([("the quick brown fox jumps", "every lazy dog sleeps")], "a string, b string").select(lines.pair_bits(F.col("a")).alias("a"), lines.pair_bits(F.col("b")).alias("b")).first()
+    assert lost(far.a, far.b) > 10
+
+
+def test_long_lines_by_pieces(spark):
+    """Pieces give a bound from above on the edit distance, and the decision on long lines is that of the distance."""
+    import random
+
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(rng.choice([1, 3, 6])))
+    pairs = []
+    for share in (0, 0.02, 0.1, 0.2, 0.25, 0.3, 0.6, 1):
+        for _ in range(4):
+            a = [word() for _ in range(200)]
+            b = [x for w in a for x in ([w] if rng.random() >= share else rng.choice([[], [word()], [w, word()]]))]
+            pairs.append((" ".join(a), " ".join(b)))
+    d = spark.createDataFrame(pairs, "a string, b string")
+    most = F.lit(100_000).cast("int")
+    got = d.select("a", "b", lines.similar(F.col("a"), F.col("b")).alias("s"), lines.pieced(F.col("a"), F.col("b"), most).alias("n")).collect()
+    distance = [edit(r.a, r.b) for r in got]
+    assert all(r.n >= e for r, e in zip(got, distance, strict=True)) and any(r.n < 100_000 for r in got)
+    assert [r.s for r in got] == [e <= 0.2 * max(len(r.a), len(r.b)) + 1e-9 for r, e in zip(got, distance, strict=True)]
+    assert 0 < sum(r.s for r in got) < len(got)
+
+
 def test_lines_short_and_without_spaces(spark):
     rows = [(1, "Accept all cookies\nOK\n\n所有饼干都接受请点击这里"), (2, "accept ALL cookies!\nok\n\nown"), (3, "所有饼干都接受请点击这里\n...\nOK"), (4, "...\nno")]
     got = {r.doc_id: (r.text, r.gone) for r in lines.dedupe(spark.createDataFrame(rows, "doc_id bigint, text string"), count="gone").collect()}
