@@ -364,6 +364,28 @@ def test_long_lines_by_pieces(spark):
     assert 0 < sum(r.s for r in got) < len(got)
 
 
+def test_shards_are_written_a_few_at_a_time(spark, monkeypatch):
+    """The index's rows are megabytes long: a row group, which a task holds as a whole, has few of them."""
+    import glob
+    import os
+
+    import pyarrow.parquet as pq
+
+    made, kept = {}, search.materialize
+
+    def keep(df, name, **options):
+        if name == "search-index":
+            big = spark.createDataFrame([(i, bytearray(os.urandom(3 << 20))) for i in range(24)], "shard bigint, docs binary").coalesce(1)
+            made["table"] = kept(big, name, **options)
+        return kept(df, name, **options)
+
+    monkeypatch.setattr(search, "materialize", keep)
+    monkeypatch.setattr(search, "_searched", lambda index, run: spark.createDataFrame([], search.FOUND))
+    search.search(spark.createDataFrame([(0, "a b c")], "doc_id bigint, text string"))
+    groups = [pq.ParquetFile(f).metadata for f in glob.glob(made["table"]._marklake_path.removeprefix("file:") + "/*.parquet")]
+    assert sum(m.num_row_groups for m in groups) >= 3 and made["table"].count() == 24
+
+
 def test_lines_short_and_without_spaces(spark):
     rows = [(1, "Accept all cookies\nOK\n\n所有饼干都接受请点击这里"), (2, "accept ALL cookies!\nok\n\nown"), (3, "所有饼干都接受请点击这里\n...\nOK"), (4, "...\nno")]
     got = {r.doc_id: (r.text, r.gone) for r in lines.dedupe(spark.createDataFrame(rows, "doc_id bigint, text string"), count="gone").collect()}
