@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,15 +58,21 @@ def derive(policy: Policy, columns: list[str]) -> tuple[Column, Column]:
 SALTS = 32
 
 
-def judge(derived: DataFrame, keys: tuple[str, ...] = ("identity",)) -> DataFrame:
+def judge(derived: DataFrame, keys: tuple[str, ...] = ("identity",), held: tuple[str, ...] = ("path", "identity_code")) -> DataFrame:
     """Adds identity_status and counts duplicates into identity_code. derived: path, identity, identity_code, ...
 
     The rows are dealt out once, by key and salt, so that counting and joining back read the same shuffle and what
-    stands before it (parsing) runs once. Counts are combined before they are shuffled.
+    stands before it (parsing) runs once. For that both must need the same of it: the keys and `held` are one column
+    that Spark does not prune (an array of one struct), and nulls are equal in the join, so that no filter is put below
+    one side. If more columns than those are wanted, both sides are made. Counts are combined before they are shuffled.
     """
-    d = derived.repartition(*keys, F.pmod(F.xxhash64("path"), F.lit(SALTS)))
-    same = d.filter("identity is not null").groupBy(*keys).agg(F.count("*").alias("_n")).filter("_n > 1")
-    d = d.join(same, list(keys), "left")
+    whole = tuple(dict.fromkeys((*keys, *held)))
+    at = lambda c: F.element_at("_r", 1)[c]
+    rest = [c for c in derived.columns if c not in whole]
+    d = derived.select(*rest, F.array(F.struct(*whole)).alias("_r")).repartition(*map(at, keys), F.pmod(F.xxhash64(at("path")), F.lit(SALTS)))
+    same = d.groupBy(*(at(k).alias(f"_{k}") for k in keys)).agg(F.count(at("identity")).alias("_n")).filter("_n > 1")
+    on = reduce(Column.__and__, (at(k).eqNullSafe(F.col(f"_{k}")) for k in keys))
+    d = d.join(same, on, "left").select(*(at(c).alias(c) if c in whole else F.col(c) for c in derived.columns), "_n")
     status = F.when(F.col("_n") > 1, "duplicate").when(F.col("identity_code").isNull(), "available").when(F.col("identity_code").isin(CODES[0], CODES[1], CODES[3]), "missing").otherwise("invalid")
     return d.withColumns({"identity_status": status, "identity_code": F.when(F.col("_n") > 1, CODES[9]).otherwise(F.col("identity_code"))}).drop("_n")
 

@@ -122,7 +122,7 @@ def memberships(records: DataFrame, plan: Plan) -> DataFrame:
     if not plan.resources:
         return d.limit(0).select(F.lit("").alias("resource"), "path", F.lit(True).alias("valid"), F.lit("").alias("identity"), F.lit("").alias("identity_status"), none.alias("diagnostics"))
     rows = d.select("path", F.explode(F.filter(F.array(*map(seen, plan.resources)), lambda x: x.isNotNull())).alias("x")).select("path", "x.*")
-    found = identity.judge(rows, ("resource", "identity"))
+    found = identity.judge(rows, ("resource", "identity"), tuple(rows.columns))
     return found.select("resource", "path", (F.col("ok") & (F.col("identity_status") == "available")).alias("valid"), "identity", "identity_status", "diagnostics")
 
 

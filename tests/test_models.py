@@ -6,7 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from marklake.functions import codec
+from marklake.functions import codec, values
 from marklake.operators import analysis, explore, export, identity, okf, rules, serve, store, types
 from marklake.plans import model_queries
 from marklake.sources import files
@@ -60,6 +60,37 @@ def test_identity(spark):
     assert got("integer")["e.md"] == ("invalid", "identity.frontmatter.invalid-integer")
 
 
+def planned(spark, df):
+    """The physical plan as it is before any part has run."""
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+def served(spark):
+    return serve.memberships(records(spark, [("orders/a.md", "---\nid: 1\ndate: x\n---\n"), ("orders/b.md", "---\nid: 1\ndate: x\n---\n"), ("orders/c.md", "---\ndate: x\n---\n"), ("orders/d.md", "---\nid: 4\ndate: x\n---\n")]), model_queries.plan())
+
+
+def test_memberships_parse_once(spark):
+    """Counting identities reads what joining back reads: frontmatter is parsed in one place of the plan."""
+    found = served(spark).select("path", "resource", "valid", "identity", "identity_status").filter("resource = 'notes'")
+    assert {r.path: (r.valid, r.identity, r.identity_status) for r in found.collect()} == {"orders/a.md": (False, "1", "duplicate"), "orders/b.md": (False, "1", "duplicate"), "orders/c.md": (False, None, "missing"), "orders/d.md": (True, "4", "available")}
+    plan = planned(spark, served(spark).select("path", "resource", "valid", "identity"))
+    assert plan.count("_parse(") == 1 and plan.count("ReusedExchange") == 1
+    d = identity.assess(analysis.analyze(records(spark, [("a.md", "---\nid: 1\n---\n")]), structure=False), identity.Policy("frontmatter", ("id",), "integer"))
+    assert planned(spark, d.select("path", "identity", "identity_status")).count("_parse(") == 1
+
+
+def test_envelopes_parse_once(spark):
+    plan = planned(spark, serve.envelopes(served(spark)).select("path", "resources", "valid"))
+    assert plan.count("_parse(") == 1 and plan.count("ReusedExchange") == 1
+    for v in (None, True, 7, -1, 2**70, 1.5, 3.0, "ä\"", [], [1, "x", [None, {"b": 1, "a": [False]}]], {"z": 1, "a": (1, 2)}):
+        assert values.canonical(v) == json.dumps(values.plain(v), ensure_ascii=False, separators=(",", ":"), sort_keys=True)
+
+
 def test_store(spark):
     held = store.load(spark.createDataFrame([("a", "a.md", "1"), ("b", "b.md", "2")], "identity string, path string, content string"))
     c = spark.createDataFrame([("a", "replace", "a.md", "x", 1), ("b", "delete", None, None, 9), ("n", "create", "n.md", "n", None)], "identity string, op string, path string, content string, expected bigint")
