@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -323,6 +324,34 @@ def test_lines_hot_blocks_lose_no_pair(spark, monkeypatch):
     assert len(want) > 500 and pairs() == want
 
 
+def test_lines_pairs_in_parts(spark, monkeypatch):
+    """All links are found if the pairs are compared a few at a time, and no tables of pairs or texts are left."""
+    import glob
+
+    rows = [(i, f"line of group {chr(97 + i % 5) * 9} with a number of more words to be read by words {'xyz'[i // 5]}") for i in range(15)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = {r.doc_id: r.text for r in lines.dedupe(d).collect()}
+    monkeypatch.setattr(lines, "PAIRS_AT_ONCE", 3)
+    before = set(glob.glob(f"{common.scratch_root(spark)}/*"))
+    assert {r.doc_id: r.text for r in lines.dedupe(d).collect()} == want and {i for i, t in want.items() if t} == {0}
+    new = {p.rpartition("/")[2].rpartition("-")[0] for p in set(glob.glob(f"{common.scratch_root(spark)}/*")) - before}
+    assert new & {"lines-links", "lines-linked"} and not new & {"lines-shared", "lines-texts", "lines-buckets", "lines-mixed"}
+
+
+def test_shuffles_end_with_their_table(spark):
+    """What is shuffled for a table is removed once it is written, and the setting is as before."""
+    jvm = spark.sparkContext._jvm
+    blocks = lambda: jvm.scala.jdk.javaapi.CollectionConverters.asJava(jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks())
+    here = lambda: {b.name() for b in blocks() if b.isShuffle()}
+    before = here()
+    made = common.materialize(spark.range(5000).groupBy((F.col("id") % 999).alias("k")).count(), "test")
+    for _ in range(50):
+        if here() <= before:
+            break
+        time.sleep(0.1)
+    assert here() <= before and common.CLEANUP not in spark.conf.getAll and made.count() == 999
+
+
 def test_lines_letter_pairs_keep_similar_lines(spark):
     """Whatever edits are made, two pairs of letters are lost for each, at most; unlike lines are told apart."""
     import random
