@@ -598,6 +598,32 @@ def test_search_leaves_blocks_unread():
     assert index.read < sum(len(set(search.terms(t)) & set(names)) for t in texts)
 
 
+def test_search_reads_few_postings_of_frequent_terms():
+    """What the product gives only bounds the scores: they are the very numbers that all postings add up to, and most are not read."""
+    import random
+
+    rng = random.Random(9)
+    texts = [" ".join(f"w{min(rng.randrange(1500) for _ in range(4))}" for _ in range(rng.choice([1, 40, 120]))) for _ in range(900)]
+    texts += [texts[5], texts[5], "", "w0 " * 300]
+    shard = search.Shard(60.0)
+    for i, t in enumerate(texts):
+        shard.add(i, t)
+    index = search.Index(dict(zip((x.split()[0] for x in search.INDEX.split(", ")), shard.row(0), strict=True)), 60.0)
+    asked = []
+    for q in (2, 5, 17, 903):
+        numbers = np.array(sorted(index.names[t] for t in set(search.terms(texts[q]))))
+        asked.append((numbers, 0.3 + (numbers * 37 % 101) / 17))
+    heads = index.heads(asked)
+    assert 30 < len(index.matrix) < len(index.names)
+    for (numbers, idf), head in zip(asked, heads, strict=True):
+        for k, least in ((10, 0.0), (3, 0.0), (2000, 0.0), (10, index.top(numbers, idf, 10)[-1][0])):
+            assert index.top(numbers, idf, k, least, head) == index.top(numbers, idf, k, least)
+    numbers, idf = max(asked, key=lambda x: len(x[0]))
+    index.read = 0
+    index.top(numbers, idf, 10, 0.0, index.heads([(numbers, idf)])[0])
+    assert 0 < 2 * index.read < np.isin(index.keys // len(index.ids), numbers).sum()
+
+
 def test_search_asks_with_all_terms(spark, monkeypatch):
     import random
 
